@@ -5,16 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from quern.llm import simhash
+from quern.llm import packing, simhash, token_store, warc
 from quern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    parts = packing.pieces(table(spark, sf_dir, "documents"), path, 1024, digest=lambda ids: token_store.crc32(ids)[0])
+    placed, _ = packing.place(parts, 1024)
+    return placed.select("doc_id", "piece", "start", "length", F.col("digest").alias("ids_crc32"), "sequence_id", "offset")
+
+
+def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.new_folder(spark)
+    captures = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    directory = warc.write_index(captures, folder)
+    back = warc.read_records(warc.read_index(directory), with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    manifest = token_store.write_shards(table(spark, sf_dir, "documents"), token_store.new_folder(spark), path)
+    return token_store.read_shards(manifest, token_store.crc32, "ids_crc32 long")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+QUERIES["op1_best_fit_packing"] = op1_best_fit_packing
+QUERIES["op2_warc_index"] = op2_warc_index
+ORACLES["op2_warc_index"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html)::BIGINT AS payload_bytes, sha256(html) AS payload_digest FROM p),
+m AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM d)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to
+FROM m
+"""
+QUERIES["op7_token_binary"] = op7_token_binary
 QUERIES["op10_simhash_near_dedup"] = op10_simhash_near_dedup
