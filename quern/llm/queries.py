@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, packing, simhash, token_store, warc
+from quern.llm import decontam, langid, packing, simhash, token_store, warc
 from quern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +52,21 @@ def op7_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_shards(manifest, token_store.crc32, "ids_crc32 long")
 
 
+def held_out() -> Column:
+    """Whether a document takes no part in fitting."""
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 0
+
+
+def language_model(spark: SparkSession, sf_dir: str) -> langid.Model:
+    return langid.fit(table(spark, sf_dir, "documents").where(~held_out()))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = langid.identify(docs, language_model(spark, sf_dir))
+    return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -84,4 +99,5 @@ SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_hit, 0)::BIGINT AS n_
 FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 QUERIES["op7_token_binary"] = op7_token_binary
+QUERIES["op8_language_id"] = op8_language_id
 QUERIES["op10_simhash_near_dedup"] = op10_simhash_near_dedup
