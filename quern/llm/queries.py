@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import decontam, html_extract, langid, packing, simhash, token_store, warc
+from quern.llm import compaction, decontam, html_extract, langid, near_vectors, packing, simhash, token_store, warc
 from quern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,10 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.annotate(docs, table(spark, sf_dir, "benchmark"))
@@ -72,6 +76,16 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out().alias("held_out"), F.col("language.lang").alias("lang_pred"), "language.score")
 
 
+def op9_size_tiered_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents arrive in four batches of small shards, are compacted, and are read from the newest version."""
+    store = compaction.ShardStore(spark, compaction.new_folder(spark), target_bytes=64 << 20)
+    arrival = F.pmod(F.xxhash64("doc_id"), F.lit(4))
+    store.append_arrivals(table(spark, sf_dir, "documents"), arrival)
+    store.compact()
+    store.vacuum()
+    return store.read().select("doc_id", "lang", "source", "n_chars", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -88,6 +102,7 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 QUERIES["op3_html_extraction"] = op3_html_extraction
+QUERIES["op5_embedding_near_dedup"] = op5_embedding_near_dedup
 QUERIES["op6_decontamination"] = op6_decontamination
 ORACLES["op6_decontamination"] = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
@@ -106,4 +121,6 @@ FROM d LEFT JOIN h ON d.doc_id = h.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 QUERIES["op7_token_binary"] = op7_token_binary
 QUERIES["op8_language_id"] = op8_language_id
+QUERIES["op9_size_tiered_sharding"] = op9_size_tiered_sharding
+ORACLES["op9_size_tiered_sharding"] = "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents"
 QUERIES["op10_simhash_near_dedup"] = op10_simhash_near_dedup
