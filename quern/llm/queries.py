@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm import compaction, decontam, html_extract, langid, near_vectors, packing, simhash, token_store, warc
+from quern.llm import chains, compaction, decontam, html_extract, langid, near_vectors, packing, simhash, token_store, warc
 from quern.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,6 +36,11 @@ def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The passages of over 50 words that a document shares with one of a lesser id."""
+    return chains.passages(table(spark, sf_dir, "documents"))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -102,6 +107,7 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM m
 """
 QUERIES["op3_html_extraction"] = op3_html_extraction
+QUERIES["op4_substring_dedup"] = op4_substring_dedup
 QUERIES["op5_embedding_near_dedup"] = op5_embedding_near_dedup
 QUERIES["op6_decontamination"] = op6_decontamination
 ORACLES["op6_decontamination"] = r"""
