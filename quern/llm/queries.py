@@ -14,15 +14,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    parts = packing.pieces(table(spark, sf_dir, "documents"), path, 1024, digest=lambda ids: token_store.crc32(ids)[0])
+    parts = packing.pieces(docs, path, 1024, digest=lambda ids: token_store.crc32(ids)[0])
     placed, _ = packing.place(parts, 1024)
     return placed.select("doc_id", "piece", "start", "length", F.col("digest").alias("ids_crc32"), "sequence_id", "offset")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed(table(spark, sf_dir, "documents"))
+
+
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = warc.new_folder(spark)
     captures = warc.write_archives(table(spark, sf_dir, "pages"), folder)
