@@ -19,7 +19,7 @@ import numpy as np
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
 #: Words that one generation of the memory holds; there are two generations.
-MEMORY = 300_000
+MEMORY = 700_000
 #: Longer words are encoded anew each time.
 LONGEST_KEPT = 48
 
@@ -44,6 +44,7 @@ class WordEncoder:
             pre = json.load(f).get("pre_tokenizer") or {}
         self.mode = _mode(pre)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.separator: list[int] | None = None
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -51,6 +52,36 @@ class WordEncoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in found]
 
+    def _words(self, words: list[str], mark: str) -> list[bytes]:
+        """The ids of each word, each with ``mark`` before it; no word has white space at its ends.
+
+        The words are encoded as one text with a separator between them, which
+        is a word of its own and whose last id no other character makes.
+        """
+        if not words:
+            return []
+        if self.separator is None:
+            alone = self.tokenizer.encode(f"{mark}\0", add_special_tokens=False).ids
+            between = self.tokenizer.encode("a \0 a", add_special_tokens=False).ids
+            self.separator = alone if alone and between.count(alone[-1]) == 1 else []
+        if not self.separator or any("\0" in w for w in words):
+            return self._ids([mark + w if w else "" for w in words])
+        out: list[bytes] = []
+        tail = len(self.separator)
+        for at in range(0, len(words), 4096):
+            part = words[at : at + 4096]
+            text = "".join([f"{mark}{w} \0" if mark else f" {w} \0" for w in part])
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            ends = np.flatnonzero(ids == self.separator[-1]) + 1
+            if len(ends) != len(part):
+                out += self._ids([mark + w if w else "" for w in part])
+                continue
+            begin = 0
+            for word, end in zip(part, ends.tolist(), strict=True):
+                out.append(ids[begin : end - tail].tobytes() if word else b"")
+                begin = end
+        return out
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian integers of ``dtype``."""
         if self.mode is None:
@@ -78,7 +109,7 @@ class WordEncoder:
                 ids[word] = self.old[word]
                 need.discard(word)
         need = list(need)
-        for word, code in zip(need, self._ids([mark + w if w else "" for w in need]), strict=True):
+        for word, code in zip(need, self._words(need, mark), strict=True):
             ids[word] = code
         out = [b"".join(map(ids.__getitem__, words)) for words in split]
         if heads is not None:
@@ -95,7 +126,7 @@ def _mode(pre: dict) -> str | None:
     parts = pre.get("pretokenizers") or []
     if pre.get("type") == "Sequence" and len(parts) == 2:
         first, second = parts
-        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "[^\\s\\p{L}\\p{N}]+" in str(first.get("pattern"))
+        drops = first.get("type") == "Split" and first.get("behavior") == "Removed" and first.get("invert") and "[^\\s\\p{L}\\p{N}]+" in str((first.get("pattern") or {}).get("Regex"))
         if drops and second.get("type") == "ByteLevel" and not second.get("use_regex") and not second.get("add_prefix_space"):
             return "drop"
     return None
