@@ -122,7 +122,10 @@ def opening_positions(lines: DataFrame) -> DataFrame:
     def usable(line: str):
         fields = line.split()
         clocks = len(fields) >= 6 and fields[4].isdigit() and fields[5].isdigit()
-        board = Board(" ".join(fields[:6]) if clocks else " ".join([*fields[:4], "0", "1"]))
+        try:
+            board = Board(" ".join(fields[:6]) if clocks else " ".join([*fields[:4], "0", "1"]))
+        except ValueError:
+            return None
         return board.fen() if board.is_valid() and not board.over() and board.half < 100 else None
 
     text = lines.select(F.trim("value").alias("value")).where((F.col("value") != "") & ~F.col("value").startswith("#"))
