@@ -133,7 +133,7 @@ def old_policy_scores(score: Column, places: Column, shares: Column) -> Column:
     limit = F.when(F.abs(score) >= MATE, float(MATE + HORIZON)).otherwise(float(CLAMP))
 
     def scores(top: Column) -> Column:
-        return F.transform(safe, lambda p: F.coalesce(F.greatest(-limit, F.least(limit, score + OLD_VALUE * OLD_TEMPERATURE * F.log(p / top))), F.lit(0.0)))
+        return F.transform(safe, lambda p: F.when(p.isNull(), 0.0).otherwise(F.greatest(-limit, F.least(limit, score + OLD_VALUE * OLD_TEMPERATURE * F.log(p / top)))))
 
     return let(F.coalesce(F.array_max(safe), F.lit(1.0)), scores)
 

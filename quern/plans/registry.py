@@ -81,12 +81,12 @@ def a1_strongest_dedup(lineitem):
 
 
 @query("""
-WITH w AS (SELECT l_extendedprice, l_quantity, max({'e': l_quantity, 'p': l_extendedprice}) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lineitem)
+WITH w AS (SELECT l_extendedprice, l_quantity, max({'e': l_quantity, 'p': l_extendedprice}) OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_quantity, l_extendedprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM lineitem)
 SELECT count(*)::BIGINT AS seen, count(*) FILTER (b IS NULL)::BIGINT AS kept, count(*) FILTER (b IS NOT NULL)::BIGINT AS duplicates,
 count(*) FILTER (b.p <> l_extendedprice)::BIGINT AS conflicts, count(*) FILTER (b.e < l_quantity)::BIGINT AS replacements FROM w
 """)
 def a2_dedup_counters(lineitem):
-    return dedup.counters(lineitem, LINE_KEYS, ["l_quantity"], ["l_partkey", "l_suppkey"], F.col("l_extendedprice"))
+    return dedup.counters(lineitem, LINE_KEYS, ["l_quantity"], ["l_partkey", "l_suppkey", "l_quantity", "l_extendedprice"], F.col("l_extendedprice"))
 
 
 @query("""

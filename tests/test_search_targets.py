@@ -24,7 +24,7 @@ def test_first_of_equals_and_unseen_moves():
     node = Node(Board().legal_moves(), np.full(20, 0.05), 0.0)
     assert select(node, 1.5, 0.3) == 0
     node.visits[0], node.sums[0] = 1, -1
-    assert select(node, 1.5, 0.3) == 1
+    assert select(node, 1.5, 0.3) == 0 and select(node, 1.5, 0.0) == 1
 
 
 def test_rescue_brings_moves_in():
@@ -39,7 +39,7 @@ def test_rescue_brings_moves_in():
 
 def test_positions_and_games(spark):
     rows = spark.createDataFrame([(MATE_IN_ONE,)], "fen string")
-    got = search_positions(rows, config=SearchConfig(simulations=60)).collect()
+    got = search_positions(rows, config=SearchConfig(simulations=400)).collect()
     assert got[0]["move"] == "a1a8" and got[0]["rank"] == 1 and len(got) == 3
     moves, result, why = play(lambda b: b.legal_moves()[0], lambda b: b.legal_moves()[-1], ("e2e4",), most=30)
     assert moves[0] == "e2e4" and result in ("1-0", "0-1", "1/2-1/2") and why
