@@ -29,8 +29,8 @@ from quern.llm.common import prepare
 SAMPLE = 12_000
 #: Cost of a change of language, in nats, and the belief spread evenly over a word's candidates.
 SWITCH, DOUBT = 12.0, 0.05
-#: Words whose scores a worker keeps in each of two generations.
-MEMORY = 200_000
+#: Words whose scores a worker keeps before it starts anew.
+MEMORY = 400_000
 #: First code point of a range and the script of the letters in it.
 SCRIPTS = [(0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Other"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Other"), (0xB80, "Tamil"), (0xC00, "Other"), (0xE00, "Thai"), (0xE80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3130, "Hangul"), (0x3190, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x30000, "Other")]
 _STARTS = [s for s, _ in SCRIPTS]
@@ -40,7 +40,7 @@ RESULT = "lang string, score double, spans array<struct<lang:string,start:int,en
 
 def script(word: str) -> str:
     """The script of most of a word's letters; the first of equals."""
-    if word.isascii():
+    if max(word) < "\u0370":
         return "Latin"
     return Counter(SCRIPTS[bisect_right(_STARTS, ord(c)) - 1][1] for c in word).most_common(1)[0][0]
 
@@ -53,27 +53,30 @@ def letters(token: str) -> str:
 
 def features(word: str) -> list[str]:
     edged = f"<{word}>"
-    out = [edged[i : i + n] for n in (3, 4) for i in range(len(edged) - n + 1)]
+    out = [edged[i : i + 3] for i in range(len(word))]
     if len(word) <= 6:
         out.append(f"={word}")
     return out
 
 
 class Model:
-    def __init__(self, languages: list[str], places: dict[str, int], logs: np.ndarray, unseen: np.ndarray, scripts: dict[str, np.ndarray]):
-        self.languages, self.places, self.logs, self.unseen, self.scripts = languages, places, logs, unseen, scripts
-
-    def belief(self, word: str) -> np.ndarray:
-        """Each language's share of belief in a word of letters."""
-        n = len(self.languages)
-        may = self.scripts.get(script(word))
-        if may is None:
-            return np.full(n, 1 / n)
-        rows = [self.places[f] for f in features(word) if f in self.places]
-        total = self.logs[rows].sum(axis=0) if rows else self.unseen * 0
-        total = np.where(may, total, -np.inf)
-        share = np.exp(total - total.max())
-        share = (1 - DOUBT) * share / share.sum() + DOUBT * may / may.sum()
+    def __init__(self, languages: list[str], places: dict[str, int], logs: np.ndarray, scripts: dict[str, np.ndarray]):
+        self.languages, self.places, self.logs, self.scripts = languages, places, logs, scripts
+        self.any = np.ones(len(languages), bool)
+
+    def beliefs(self, words: list[str]) -> np.ndarray:
+        """Each language's share of belief in each word of letters: a row for each word."""
+        n, get = len(self.languages), self.places.get
+        may = np.array([self.scripts.get(script(w), self.any) for w in words])
+        total = np.zeros((len(words), n))
+        at = [[i for f in features(w) if (i := get(f)) is not None] for w in words]
+        size = np.array([len(a) for a in at])
+        if some := np.flatnonzero(size).tolist():
+            flat = self.logs[np.concatenate([at[i] for i in some])]
+            total[some] = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(size[some])[:-1]]), axis=0)
+        total[~may] = -np.inf
+        share = np.exp(total - total.max(axis=1, keepdims=True))
+        share = (1 - DOUBT) * share / share.sum(axis=1, keepdims=True) + DOUBT * may / may.sum(axis=1, keepdims=True)
         return np.where(may, share, 1e-4)
 
 
@@ -116,35 +119,57 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_
         at = {lang: i for i, lang in enumerate(languages)}
         table[found["feature"].map(places).to_numpy(), found["lang"].map(at).to_numpy()] = found["n"].to_numpy()
     whole = table.sum(axis=0) + 0.5 * (len(names) + 1)
-    return Model(languages, places, np.log((table + 0.5) / whole).astype(np.float32), np.log(0.5 / whole), scripts)
+    return Model(languages, places, np.log((table + 0.5) / whole).astype(np.float32), scripts)
 
 
-def spans(logs: np.ndarray, switch: float = SWITCH) -> np.ndarray:
-    """The best path of languages through per-word scores, where each change costs ``switch``.
+def single(logs: np.ndarray, switch: float = SWITCH) -> int | None:
+    """The language of a text in which no change can pay, else None.
 
-    If no stretch of words favours another language over the best single one by
-    more than half that cost, no path with changes can be better, and the single
-    one is returned without the pass.
+    None pays if no stretch of words favours another language over the best one
+    by more than ``switch``, nor a beginning and an end together: a path with
+    changes gains no more than that in any of its parts, and pays as much for
+    each change.
     """
-    n = len(logs)
     best = int(logs.sum(axis=0).argmax())
     gain = np.cumsum(logs - logs[:, [best]], axis=0)
-    low = np.minimum.accumulate(np.vstack([np.zeros((1, logs.shape[1])), gain]), axis=0)[:-1]
-    if (gain - low).max() <= switch / 2:
-        return np.full(n, best)
-    score = logs[0]
+    low = np.minimum(np.minimum.accumulate(gain, axis=0), 0)
+    most = max(gain[0].max(), (gain[1:] - low[:-1]).max(initial=0))
+    return best if most <= switch and max(0, gain.max()) + (gain[-1] - low[-1]).max() <= switch else None
+
+
+def paths(texts: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
+    """The best path of languages through each text's per-word scores, where each change costs ``switch``.
+
+    The texts go through the pass side by side, longest first, so that those
+    that still have words are a beginning of the rows.
+    """
+    if not texts:
+        return []
+    order = sorted(range(len(texts)), key=lambda i: -len(texts[i]))
+    size = np.array([len(texts[i]) for i in order])
+    start = np.concatenate([[0], np.cumsum(size)[:-1]])
+    logs = np.concatenate([texts[i] for i in order])
     back = np.zeros(logs.shape, np.int16)
-    here = np.arange(logs.shape[1])
-    for i in range(1, n):
-        top = int(score.argmax())
-        change = score < score[top] - switch
-        back[i] = np.where(change, top, here)
-        score = np.where(change, score[top] - switch, score) + logs[i]
-    path = np.empty(n, np.int64)
-    path[-1] = int(score.argmax())
-    for i in range(n - 1, 0, -1):
-        path[i - 1] = back[i, path[i]]
-    return path
+    here = np.arange(logs.shape[1], dtype=np.int16)
+    score = logs[start]
+    active = np.searchsorted(-size, -np.arange(size[0]), side="left")
+    for t in range(1, int(size[0])):
+        n = active[t]
+        top = score[:n].argmax(axis=1)
+        least = score[np.arange(n), top] - switch
+        change = score[:n] < least[:, None]
+        at = start[:n] + t
+        back[at] = np.where(change, top[:, None], here)
+        score[:n] = np.where(change, least[:, None], score[:n]) + logs[at]
+    path = np.zeros(len(logs), np.int64)
+    path[start + size - 1] = score.argmax(axis=1)
+    for t in range(int(size[0]) - 1, 0, -1):
+        at = start[: active[t]] + t
+        path[at - 1] = back[at, path[at]]
+    out: list[np.ndarray] = [path] * len(texts)
+    for i, a, n in zip(order, start.tolist(), size.tolist(), strict=True):
+        out[i] = path[a : a + n]
+    return out
 
 
 class Labeller:
@@ -152,48 +177,53 @@ class Labeller:
 
     def __init__(self, model: Model):
         self.model, self.rows = model, {"": 0}
-        self.table = np.zeros((1024, len(model.languages)), np.float64)
-        self.size = np.zeros(1024, np.int64)
+        n = len(model.languages)
+        self.share, self.logs, self.size = np.ones((1, n)), np.zeros((1, n)), np.zeros(1, np.int64)
 
     def _learn(self, tokens: set[str]) -> None:
-        fresh = tokens - self.rows.keys()
+        fresh = list(tokens - self.rows.keys())
         if len(self.rows) + len(fresh) > MEMORY:
-            kept = tokens & self.rows.keys() | {""}
+            kept = list(tokens & self.rows.keys() | {""})
             at = np.array([self.rows[t] for t in kept])
-            self.table, self.size = self.table[at], self.size[at]
+            self.share, self.logs, self.size = self.share[at], self.logs[at], self.size[at]
             self.rows = {t: i for i, t in enumerate(kept)}
-        need = len(self.rows) + len(fresh)
+        if not fresh:
+            return
+        words = [letters(t) for t in fresh]
+        share = np.ones((len(fresh), self.share.shape[1]))
+        if some := [i for i, w in enumerate(words) if w]:
+            share[some] = self.model.beliefs([words[i] for i in some])
+        start = len(self.rows)
+        self.rows.update(zip(fresh, range(start, start + len(fresh)), strict=True))
+        need = start + len(fresh)
         if need > len(self.size):
             more = max(need, 2 * len(self.size)) - len(self.size)
-            self.table = np.vstack([self.table, np.zeros((more, self.table.shape[1]))])
+            self.share, self.logs = (np.vstack([x, np.zeros((more, x.shape[1]))]) for x in (self.share, self.logs))
             self.size = np.append(self.size, np.zeros(more, np.int64))
-        for token in fresh:
-            at = len(self.rows)
-            self.rows[token] = at
-            word = letters(token)
-            self.size[at] = len(word)
-            self.table[at] = self.model.belief(word) if word else 1.0
+        self.share[start:need], self.logs[start:need] = share, np.log(share)
+        self.size[start:need] = [len(w) for w in words]
 
     def label(self, texts: list[str | None]) -> list[tuple]:
         split = [(t or "").lower().split() for t in texts]
         if not self.model.languages:
             return [("und", 0.0, []) for _ in texts]
         self._learn(set().union(*split))
-        out = []
-        for tokens in split:
-            rows = np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens))
-            size = self.size[rows]
-            if not size.any():
-                out.append(("und", 0.0, []))
-                continue
-            share = self.table[rows]
-            path = spans(np.log(share))
-            held = np.bincount(path, weights=size, minlength=share.shape[1])
-            lang = int(held.argmax())
-            score = float((share[:, lang] * size).sum() / size.sum())
-            edge = np.flatnonzero(np.diff(path)) + 1
-            begin, end = [0, *edge.tolist()], [*edge.tolist(), len(path)]
-            out.append((self.model.languages[lang], min(1.0, score), [(self.model.languages[path[a]], a, b) for a, b in zip(begin, end, strict=True)]))
+        rows = [np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens)) for tokens in split]
+        lettered = [i for i, r in enumerate(rows) if self.size[r].any()]
+        alone = {i: single(self.logs[rows[i]]) for i in lettered}
+        mixed = [i for i in lettered if alone[i] is None]
+        path_of = dict(zip(mixed, paths([self.logs[rows[i]] for i in mixed]), strict=True))
+        out: list[tuple] = [("und", 0.0, [])] * len(texts)
+        for i in lettered:
+            size, n = self.size[rows[i]], len(rows[i])
+            lang, edges = alone[i], [0, n]
+            if i in path_of:
+                path = path_of[i]
+                edges = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n]
+                lang = int(np.bincount(path, weights=size, minlength=self.share.shape[1]).argmax())
+            score = float(self.share[rows[i], lang] @ size) / int(size.sum())
+            of = (lambda a, p=path_of.get(i), lang=lang: lang if p is None else int(p[a]))
+            out[i] = (self.model.languages[lang], min(1.0, score), [(self.model.languages[of(a)], a, b) for a, b in zip(edges, edges[1:], strict=False)])
         return out
 
 
