@@ -2,8 +2,8 @@
 
 A page is a sequence of tokens: tags with their path, and texts with theirs.
 Over the pages of a host, tokens with the same occurrence vector (how often they
-occur on each page) are of one class. A class that recurs on several pages and
-keeps its order is template: its tokens delimit the slots that hold what pages
+occur on each page) are of one class. A class that recurs on several pages, a
+good share of the host's, and keeps its order is template: its tokens delimit the slots that hold what pages
 differ in, and classes nest where one lies within a slot of another. What
 remains of a page, its slots, is sorted by what encloses it: menus, notices,
 adverts, forms and the like go, so do slots that mostly hold links over the
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 
 from quern.llm.common import cut, prepare
 
-#: Titles on which a class must recur, and the share of linked characters that makes a slot a menu.
-SUPPORT, LINKED = 5, 0.6
+#: Titles on which a class must recur, their least share of the host's, and the share of linked characters that makes a slot a menu.
+SUPPORT, SHARE, LINKED = 5, 0.3, 0.6
 
 # Fixed values of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -289,7 +289,9 @@ def templates(pages: DataFrame) -> DataFrame:
         F.sum("linked").alias("linked"),
         F.avg("place").alias("place"),
     )
-    found = found.where(F.col("support") >= SUPPORT)
+    found = cut(found.where(F.col("support") >= SUPPORT), "tokens")
+    titles = found.groupBy("host").agg(F.max("support").alias("titles"))
+    found = found.join(titles, "host").where(F.col("support") >= SHARE * F.col("titles"))
     classes = found.where("kind = 0").groupBy("host", "vector", "support").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("rows"))
     classes = classes.groupBy("host").agg(F.collect_list(F.col("rows.token")).alias("classes"))
     menus = found.where((F.col("kind") == 1) & (F.col("linked") >= LINKED * F.col("chars"))).groupBy("host").agg(F.collect_list("token").alias("menus"))

@@ -63,6 +63,12 @@ def test_copies_are_not_template(spark):
     assert {r["main_text"] for r in html_extract.extract(pages).collect()} == {"Same\n\nOne story that was copied."}
 
 
+def test_a_quoted_line_is_not_template(spark):
+    rows = [(i, f"http://h.org/{i}", f"<title>T{i}</title><article><h1>T{i}</h1><p>Own {i}.</p>{'<p>Quoted.</p>' if i < 8 else ''}</article>") for i in range(60)]
+    got = {r["page_id"]: r["main_text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T3\n\nOwn 3.\n\nQuoted." and got[30] == "T30\n\nOwn 30."
+
+
 def test_pages_without_article(spark):
     links = "".join(f'<div class="x"><a href="/{j}">Section {j}</a></div>' for j in range(5))
     rows = [(i, f"http://h.org/{i}", f'<title>T{i}</title>{links}<div class="body"><p>Story number {i} goes on here.</p></div><div>Always the same</div>') for i in range(9)]
