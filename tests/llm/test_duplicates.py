@@ -155,3 +155,45 @@ def test_chain_is_best():
 
 def test_words_are_cut_out():
     assert chains.without("a b  c\nd e ", [(1, 3)]) == "a d e" and chains.without("a b", [(0, 2)]) == "" and chains.without("é b", [(1, 9)]) == "é"
+
+
+def repeats(texts, least):
+    """The words of each document inside runs of ``least`` words that a document of lesser id has."""
+    seen, out = {}, {}
+    for doc in sorted(texts):
+        words = texts[doc].lower().split()
+        runs = [tuple(words[i : i + least]) for i in range(len(words) - least + 1)]
+        for i, run in enumerate(runs):
+            if seen.setdefault(run, doc) < doc:
+                out.setdefault(doc, set()).update(range(i, i + least))
+    return out
+
+
+def covered(spark, texts):
+    got = {}
+    for r in chains.passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect():
+        assert r["other_id"] < r["doc_id"] and r["agreement"] >= 0.8
+        got.setdefault(r["doc_id"], set()).update(range(r["start"], r["end"]))
+    return got
+
+
+def unlike(n, k):
+    return " ".join(f"w{n}x{i}" for i in range(k))
+
+
+@pytest.mark.parametrize("block", [1, 1_000_000])
+def test_verbatim_passages_whose_parts_have_other_holders(spark, monkeypatch, block):
+    # A block of one seed closes after every batch; docs come in batches by partition.
+    monkeypatch.setattr(chains, "BLOCK_SEEDS", block)
+    a, b = unlike("a", 30), unlike("b", 25)
+    held = [b, a, f"{a} {b}", a, b, f"{a} {b}"]
+    texts = {i: f"{unlike(i, 60)} {t} {unlike(i + 100, 60)}" for i, t in enumerate(held)}
+    assert repeats(texts, chains.LEAST)[5] <= covered(spark, texts).get(5, set())
+
+
+def test_verbatim_passages_equal_brute_force(spark):
+    rng = random.Random(5)
+    parts = [unlike(f"p{i}", rng.choice([12, 25, 30, 60])) for i in range(12)] + ["again and again " * 20]
+    texts = {i: " ".join(rng.choice(parts) if rng.random() < 0.7 else unlike(f"d{i}n{j}", 20) for j in range(9)) for i in range(60)}
+    want, got = repeats(texts, chains.LEAST), covered(spark, texts)
+    assert len(want) > 30 and all(w <= got.get(i, set()) for i, w in want.items())
