@@ -197,3 +197,15 @@ def test_verbatim_passages_equal_brute_force(spark):
     texts = {i: " ".join(rng.choice(parts) if rng.random() < 0.7 else unlike(f"d{i}n{j}", 20) for j in range(9)) for i in range(60)}
     want, got = repeats(texts, chains.LEAST), covered(spark, texts)
     assert len(want) > 30 and all(w <= got.get(i, set()) for i, w in want.items())
+
+
+def test_a_chain_gives_all_its_stretches():
+    rng = np.random.default_rng(3)
+    new = lambda n: rng.integers(1, 1 << 31, n).astype("<u4")
+    first, middle, last = new(60), new(20), new(60)
+    first_again = first.copy()
+    first_again[30] = 0
+    x, y = (np.concatenate([f, new(21), middle, new(21), last]) for f in (first, first_again))
+    at = np.array([0, 12, 40, 55, 81, 90, 122, 150, 177])
+    found = chains.align(x, y, at, at)
+    assert [f[:2] for f in found] == [(0, 60), (122, 182)] and all(f[4] >= 0.8 for f in found)
