@@ -209,3 +209,10 @@ def test_a_chain_gives_all_its_stretches():
     at = np.array([0, 12, 40, 55, 81, 90, 122, 150, 177])
     found = chains.align(x, y, at, at)
     assert [f[:2] for f in found] == [(0, 60), (122, 182)] and all(f[4] >= 0.8 for f in found)
+
+
+def test_passages_whose_words_occurred_before_in_the_text(spark):
+    f, g = unlike("f", 30), unlike("g", 25)
+    texts = {1: f"{unlike(1, 40)} {f} {g} {unlike(2, 40)}", 2: f"{f} {unlike(3, 60)} {f} {g} {unlike(4, 9)}", 3: f"{f} {g} {unlike(5, 60)} {f} {g} {unlike(6, 9)}"}
+    want, got = repeats(texts, chains.LEAST), covered(spark, texts)
+    assert want[2] <= got.get(2, set()) and len(want[3]) == 110 and want[3] <= got.get(3, set())
