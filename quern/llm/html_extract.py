@@ -12,7 +12,9 @@ host's pages; the article's slots stay, in page order.
 Vectors are never gathered. A vector is known by its length and a sum of hashes
 of (page, count), which partial aggregation adds up wherever rows lie, so a host
 with any share of all pages costs no more a task than others. Pages of a host
-with one title are one page here: copies of an article don't make it template.
+with the same tokens are one page here: copies of an article don't make it
+template. Classes are sought over a host and over each section of it, the first
+part of a path that goes on, so the templates of a small section count there.
 
 Null and empty html give an empty text; a page whose url has no host is of the
 host ``''``; repeated rows are treated alike.
@@ -27,12 +29,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quern.llm.common import cut, prepare
 
-#: Titles on which a class must recur, their least share of the host's, and the share of linked characters that makes a slot a menu.
+#: Different pages on which a class must recur, their least share of the host's or section's, and the share of linked characters that makes a slot a menu.
 SUPPORT, SHARE, LINKED = 5, 0.3, 0.6
 
 # Fixed values of HTML.
@@ -55,6 +57,7 @@ _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _SPACE = re.compile(r"\s+")
 _HOST = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
+_SECTION = re.compile(r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?#]*/+([^/?#]+)/+[^/?#]")
 _PART = re.compile(r"[-_:]+")
 
 
@@ -63,6 +66,18 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def section_of(url: str | None) -> str | None:
+    """The first part of a path of several."""
+    m = _SECTION.match(url or "")
+    return m[1] if m else None
+
+
+def places_of(url: str | None) -> tuple[int, int]:
+    """The numbers of a url's host and section; without a section, the host's twice."""
+    host, section = host_of(url), section_of(url)
+    return code(host), code(host) if section is None else code(host, section)
+
+
 def code(*parts: str) -> int:
     from xxhash import xxh64_intdigest
 
@@ -253,45 +268,52 @@ def main_text(page: Page, classes: list[list[int]], menus: set[int]) -> str:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, classes (their tokens in order), menus (paths): a row for each host that has any."""
+    """host, classes (their tokens in order), menus (paths): a row for each host or section that has any."""
     prepare(pages.sparkSession)
-    names = ["host", "kind", "token", "title", "n", "place", "linked"]
+    from xxhash import xxh64_intdigest
+
+    names = ["host", "section", "kind", "token", "page", "n", "place", "linked"]
 
     def tokens(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             parts = []
             for url, source in zip(frame["url"], frame["html"], strict=True):
                 page = read(source)
-                host, title = code(host_of(url)), code(page.title)
+                host, section = places_of(url)
+                number = xxh64_intdigest(np.array([t for t, _ in page.tags], np.int64).tobytes()) - (1 << 63)
                 seen: dict[int, list[int]] = {}
                 for i, (token, _) in enumerate(page.tags):
                     if token in seen:
                         seen[token][0] += 1
                     else:
                         seen[token] = [1, i]
-                rows = [(host, 0, t, title, n, i, 0) for t, (n, i) in seen.items()]
+                rows = [(host, section, 0, t, number, n, i, 0) for t, (n, i) in seen.items()]
                 held: dict[int, list[int]] = {}
                 for b in page.blocks:
                     sizes = held.setdefault(b.path, [0, 0])
                     sizes[0] += len(b.text)
                     sizes[1] += min(b.linked, len(b.text))
-                rows += [(host, 1, p, title, n, 0, linked) for p, (n, linked) in held.items()]
+                rows += [(host, section, 1, p, number, n, 0, linked) for p, (n, linked) in held.items()]
                 parts += rows
             yield pd.DataFrame(parts, columns=names)
 
     source = pages.select(F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    found = source.mapInPandas(tokens, "host long, kind int, token long, title long, n int, place int, linked int")
-    found = found.groupBy("host", "kind", "token", "title").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
+    found = source.mapInPandas(tokens, "host long, section long, kind int, token long, page long, n int, place int, linked int")
+    found = found.groupBy("host", "section", "kind", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
+    # A copy in another section is another page there, and the same page of the host.
+    sections = found.where("section != host").withColumn("host", F.col("section"))
+    whole = found.groupBy("host", "kind", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
+    found = whole.unionByName(sections.drop("section"))
     found = found.groupBy("host", "kind", "token").agg(
-        F.sum(F.xxhash64("title", "n").cast("decimal(38,0)")).alias("vector"),
+        F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
         F.count("*").alias("support"),
         F.sum("n").alias("chars"),
         F.sum("linked").alias("linked"),
         F.avg("place").alias("place"),
     )
     found = cut(found.where(F.col("support") >= SUPPORT), "tokens")
-    titles = found.groupBy("host").agg(F.max("support").alias("titles"))
-    found = found.join(titles, "host").where(F.col("support") >= SHARE * F.col("titles"))
+    most = found.groupBy("host").agg(F.max("support").alias("pages"))
+    found = found.join(most, "host").where(F.col("support") >= SHARE * F.col("pages"))
     classes = found.where("kind = 0").groupBy("host", "vector", "support").agg(F.array_sort(F.collect_list(F.struct("place", "token"))).alias("rows"))
     classes = classes.groupBy("host").agg(F.collect_list(F.col("rows.token")).alias("classes"))
     menus = found.where((F.col("kind") == 1) & (F.col("linked") >= LINKED * F.col("chars"))).groupBy("host").agg(F.collect_list("token").alias("menus"))
@@ -301,16 +323,26 @@ def templates(pages: DataFrame) -> DataFrame:
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", name: str = "main_text") -> DataFrame:
     """``pages`` with one more column, the main text."""
     made = cut(templates(pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))), "templates")
-    key, classes, menus = (f"__{name}_{x}" for x in ("host", "classes", "menus"))
-    made = made.select(F.col("host").alias(key), F.col("classes").alias(classes), F.col("menus").alias(menus))
+    key, part, classes, menus, more, others = (f"__{name}_{x}" for x in ("host", "section", "classes", "menus", "more", "others"))
+    whole = made.select(F.col("host").alias(key), F.col("classes").alias(classes), F.col("menus").alias(menus))
+    sections = made.select(F.col("host").alias(part), F.col("classes").alias(more), F.col("menus").alias(others))
 
     @F.pandas_udf("long")
     def host(urls: pd.Series) -> pd.Series:
-        return pd.Series([code(host_of(u)) for u in urls], dtype="int64")
+        return pd.Series([places_of(u)[0] for u in urls], dtype="int64")
+
+    @F.pandas_udf("long")
+    def section(urls: pd.Series) -> pd.Series:
+        return pd.Series([places_of(u)[1] for u in urls], dtype="int64")
 
     @F.pandas_udf("string")
     def text(sources: pd.Series, classes: pd.Series, menus: pd.Series) -> pd.Series:
         return pd.Series([main_text(read(s), [c.tolist() for c in k] if k is not None else [], set(m.tolist()) if m is not None else set()) for s, k, m in zip(sources, classes, menus, strict=True)], dtype=object)
 
-    joined = pages.withColumn(key, host(F.col(url_col).cast("string"))).join(made, key, "left")
-    return joined.withColumn(name, text(F.col(html_col).cast("string"), F.col(classes), F.col(menus))).drop(key, classes, menus)
+    def both(one: str, other: str, kind: str) -> Column:
+        return F.array_union(F.coalesce(one, F.array().cast(kind)), F.coalesce(other, F.array().cast(kind)))
+
+    url = F.col(url_col).cast("string")
+    joined = pages.withColumn(key, host(url)).withColumn(part, section(url)).join(whole, key, "left").join(sections, part, "left")
+    made = text(F.col(html_col).cast("string"), both(classes, more, "array<array<long>>"), both(menus, others, "array<long>"))
+    return joined.withColumn(name, made).drop(key, part, classes, menus, more, others)

@@ -76,6 +76,13 @@ def test_pages_without_article(spark):
     assert {r["main_text"] for r in got} == {f"Story number {i} goes on here." for i in range(9)}
 
 
+def test_pages_of_one_title_and_small_sections(spark):
+    rows = [(i, f"http://h.org/{i}", f"<title>Site</title><div><p>Story number {i} goes on.</p></div><div>Call us now</div>") for i in range(40)]
+    rows += [(100 + i, f"http://h.org/shop/{i}", f"<title>Site</title><div><p>Item {i} is sold here.</p></div><div>Only while stocks last</div>") for i in range(8)]
+    got = {r["page_id"]: r["main_text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Story number 3 goes on." and got[104] == "Item 4 is sold here."
+
+
 def test_nesting_of_classes():
     p = html_extract.read("<div><ul><li>a</li><li>b</li></ul></div>")
     tokens = [t for t, _ in p.tags]
