@@ -127,11 +127,12 @@ class ShardStore:
         return self._add([s for group in self._listed(path, schema, 0).values() for s in group], schema)
 
     def append_arrivals(self, rows: DataFrame, arrival) -> list[int]:
-        """Add each arrival of ``rows`` as a version of its own; all are written in one pass."""
+        """Add each arrival of ``rows`` as a version of its own, one version if there is none; all are written in one pass."""
         schema = rows.schema.json()
         name = "_".join(["arrival", *rows.columns])
         path = self._write(rows.withColumn(name, arrival), name)
-        return [self._add(group, schema) for _, group in sorted(self._listed(path, schema, 0).items())]
+        arrived = [group for _, group in sorted(self._listed(path, schema, 0).items())]
+        return [self._add(group, schema) for group in arrived or [[]]]
 
     def tier(self, size: int) -> int | None:
         """The tier of a shard by its size; none from half the target on."""

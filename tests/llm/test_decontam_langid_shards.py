@@ -129,3 +129,11 @@ def test_only_one_writer_takes_a_version(spark, tmp_path):
     assert store.version() == 1 and store.read().count() == 3
     with pytest.raises(ValueError, match="nothing"):
         compaction.ShardStore(spark, str(tmp_path / "t")).read()
+
+
+def test_no_arrivals_are_a_version(spark, tmp_path):
+    store = compaction.ShardStore(spark, str(tmp_path / "s"))
+    rows = spark.createDataFrame([], "doc_id long, text string")
+    assert store.append_arrivals(rows, rows["doc_id"] % 4) == [1] and store.compact() == []
+    store.vacuum()
+    assert store.read().count() == 0 and store.read().columns == ["doc_id", "text"]
