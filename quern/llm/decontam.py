@@ -9,7 +9,8 @@ suffix begins with one, and suffixes are told apart up to the longest item.
 Words are maximal runs of ASCII letters and digits and of all characters from
 U+0080 on, with A-Z lowered. A window is ``width`` consecutive words of an item,
 or a whole item of fewer. Null and empty texts have no words. Repeated rows are
-judged alike; items that repeat each count.
+judged alike; items that repeat each count. Items without an id are searched for
+as well and together are one item, null.
 
 The benchmark is shipped to the tasks in chunks of a bounded number of
 characters; the documents pass through one search per chunk.
@@ -37,6 +38,11 @@ def words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
 
 
+def _order(name: str | None) -> tuple[bool, str]:
+    """Items without a name come first."""
+    return name is not None, name or ""
+
+
 class SuffixArray:
     """The suffixes of ``codes`` that begin with a positive number, sorted up to ``depth`` numbers."""
 
@@ -156,13 +162,13 @@ class Benchmark:
         for d, (at, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
             own = matches.get(d, [])
             spots = np.flatnonzero(hit[at : at + size]).tolist() if own else []
-            out.append((size, len(spots), sorted({m[0] for m in own}), sorted(own), spots))
+            out.append((size, len(spots), sorted({m[0] for m in own}, key=_order), sorted(own, key=lambda m: (_order(m[0]), m[1:])), spots))
         return out
 
 
 def _chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
     """The benchmark in chunks of bounded size; an item that alone exceeds the bound is a chunk."""
-    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text")).where("item is not null")
+    rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
     chunk, size = [], 0
     for item, text in rows.toLocalIterator():
         chunk.append((item, text or ""))

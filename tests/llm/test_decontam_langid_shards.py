@@ -137,3 +137,11 @@ def test_no_arrivals_are_a_version(spark, tmp_path):
     assert store.append_arrivals(rows, rows["doc_id"] % 4) == [1] and store.compact() == []
     store.vacuum()
     assert store.read().count() == 0 and store.read().columns == ["doc_id", "text"]
+
+
+def test_items_without_an_id_count(spark):
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "x y")], "doc_id long, text string")
+    bench = spark.createDataFrame([(None, "b c"), ("7", "c d")], "item_id string, text string")
+    got = {r["doc_id"]: r["found"] for r in decontam.annotate(docs, bench).collect()}
+    assert (got[1]["n_hit"], got[1]["items"], len(got[1]["matches"])) == (3, [None, "7"], 2) and got[2]["n_hit"] == 0
+    assert [r["doc_id"] for r in decontam.decontaminate(docs, bench).collect()] == [2]
