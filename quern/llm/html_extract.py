@@ -301,9 +301,8 @@ def templates(pages: DataFrame) -> DataFrame:
     found = source.mapInPandas(tokens, "host long, section long, kind int, token long, page long, n int, place int, linked int")
     found = found.groupBy("host", "section", "kind", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
     # A copy in another section is another page there, and the same page of the host.
-    sections = found.where("section != host").withColumn("host", F.col("section"))
-    whole = found.groupBy("host", "kind", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
-    found = whole.unionByName(sections.drop("section"))
+    found = found.withColumn("host", F.explode(F.array_distinct(F.array("host", "section"))))
+    found = found.groupBy("host", "kind", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
     found = found.groupBy("host", "kind", "token").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
         F.count("*").alias("support"),
