@@ -278,6 +278,13 @@ def material(fen: Column) -> Column:
     return total.cast("int")
 
 
+def captured(fen: Column) -> Column:
+    """How many pieces of each letter the initial set has beyond those on the board; fewer than none after promotions."""
+    placed = F.substring_index(fen, " ", 1)
+    left = [(c, n - (F.length(placed) - F.length(F.replace(placed, F.lit(c))))) for letter, n in (("P", 8), ("N", 2), ("B", 2), ("R", 2), ("Q", 1)) for c in (letter, letter.lower())]
+    return F.create_map(*[x for c, n in left for x in (F.lit(c), n)])
+
+
 def squares(uci: Column) -> Column:
     """Start and end of a move in UCI as numbers."""
     def number(at: int) -> Column:

@@ -2,26 +2,22 @@
 
 from __future__ import annotations
 
-import decimal
 import hashlib
 import json
-import os
-import shutil
 import uuid
-from collections.abc import Iterator
 from dataclasses import asdict
-from pathlib import Path
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quern.functions import encode
-from quern.functions.records import EvalConfig, judge
+from quern.functions.records import EvalConfig, judged
 from quern.operators import aggregates, dedup, ranking, shaping
 from quern.operators.stage import cut
 from quern.sources.lines import record_lines
+from quern.sources.store import Store
 
 SCHEMA, SPLITS = "quern-evals-v1", ("train", "validation", "test")
 SAMPLE = T.StructType.fromJson(
@@ -33,28 +29,6 @@ SAMPLE = T.StructType.fromJson(
         ],
     }
 )
-JUDGED = T.StructType([T.StructField("file", T.StringType()), T.StructField("line", T.LongType()), T.StructField("reason", T.StringType()), T.StructField("counts", T.MapType(T.StringType(), T.IntegerType())), *SAMPLE.fields])
-
-
-def judged(lines: DataFrame, config: EvalConfig) -> DataFrame:
-    """A row for each line: its sample, or the reason it has none; and its counters."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            rows = []
-            for file, line, value in zip(frame["file"], frame["line"], frame["value"], strict=True):
-                found = judge(value, config)
-                sample = dict(found.sample or {})
-                for k in ("value_knodes", "policy_knodes"):
-                    if k in sample:
-                        sample[k] = decimal.Decimal(sample[k])
-                rows.append({"file": file, "line": line, "reason": found.reason or "kept", "counts": found.counts, **sample})
-            out = pd.DataFrame(rows, columns=JUDGED.fieldNames()).astype(object)
-            yield out.where(out.notna(), None)
-
-    return lines.select("file", "line", "value").mapInPandas(run, JUDGED)
-
-
 def statistics(rows: DataFrame) -> dict[str, int]:
     """A3: lines by reason and the sums of their counters."""
     reasons = {f"lines_{r['reason']}": r["n"] for r in aggregates.histogram(rows, F.col("reason"), "reason").collect()}
@@ -93,111 +67,164 @@ def identity(manifest: dict) -> str:
 
 
 def checksums(spark: SparkSession, folder: str) -> DataFrame:
-    """P5: path below ``folder``, bytes, sha256 of each data file."""
+    """P5: path below ``folder``, bytes, sha256 of each data file; a file holds at most a shard's records, far less than the reader's 2 GB."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder)
     return files.select(F.regexp_extract("path", r"(split=[^/]+/[^/]+)$", 1).alias("path"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
-def build(spark: SparkSession, raw: str, out: str, config: EvalConfig | None = None, max_records: int | None = None) -> dict:
+def up_to(rows: DataFrame, accepted: int) -> DataFrame:
+    """S3: the rows in source order up to that of the ``accepted``-th kept one."""
+    last = ranking.limit_ordered(rows.where("reason = 'kept'").select("file", "line"), ["file", "line"], accepted)
+    last = last.agg(F.count("*").alias("n"), F.max(F.struct("file", "line")).alias("at")).first()
+    if last["n"] < accepted:
+        return rows
+    file, line = last["at"]
+    return rows.where((F.col("file") < file) | ((F.col("file") == file) & (F.col("line") <= line)))
+
+
+def build(spark: SparkSession, raw: str, out: str, config: EvalConfig | None = None, max_records: int | None = None, max_positions: int | None = None) -> dict:
     """K1-K3, S3: write the dataset of the record files below ``raw`` to ``out``, whole or not at all; its manifest.
 
-    Files are written beside ``out`` and moved there at the end. The sources must
-    be as they were when the build began.
+    ``max_records`` limits the lines that are read, ``max_positions`` the positions
+    accepted, both in source order and before copies are dropped; lines after the
+    last accepted one count nowhere. Files are written beside ``out`` and moved
+    there at the end, on any file system that Spark writes. The sources must be as
+    they were when the build began.
     """
     config = config or EvalConfig()
-    target = Path(out)
-    if target.exists() and any(target.iterdir()):
+    target, source = Store(spark, out), Store(spark, raw)
+    if not target.empty():
         raise FileExistsError(f"{out} isn't empty")
-    before = _state(raw)
+    before = source.listing()
     lines = record_lines(spark, raw)
     if max_records is not None:
         lines = ranking.limit_ordered(lines, ["file", "line"], max_records)
     rows = cut(judged(lines, config))
+    if max_positions is not None:
+        rows = up_to(rows, max_positions)
     stats = statistics(rows)
     if not stats.get("lines_kept"):
         raise ValueError("no usable positions")
     if config.deduplicate:
         stats |= duplicate_counters(rows)
-    passing = target.parent / f".{target.name}-{uuid.uuid4().hex}"
+    home, _, name = target.root.rpartition("/")
+    passing = Store(spark, f"{home}/.{name}-{uuid.uuid4().hex}")
     try:
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
         ranged = samples(rows, config).repartitionByRange(parts, "split", "position_hash", "board").sortWithinPartitions("split", "position_hash", "board")
-        ranged.write.partitionBy("split").option("maxRecordsPerFile", config.shard_size).parquet(str(passing))
-        counted = spark.read.parquet(str(passing)).groupBy(F.regexp_extract("_metadata.file_path", r"(split=[^/]+/[^/]+)$", 1).alias("path")).agg(F.count("*").alias("rows"))
-        shards = [{**r.asDict(), "split": r["path"].split("/")[0].removeprefix("split=")} for r in checksums(spark, str(passing)).join(counted, "path").orderBy("path").collect()]
+        ranged.write.partitionBy("split").option("maxRecordsPerFile", config.shard_size).parquet(passing.root)
+        counted = spark.read.parquet(passing.root).groupBy(F.regexp_extract("_metadata.file_path", r"(split=[^/]+/[^/]+)$", 1).alias("path")).agg(F.count("*").alias("rows"))
+        shards = [{**r.asDict(), "split": r["path"].split("/")[0].removeprefix("split=")} for r in checksums(spark, passing.root).join(counted, "path").orderBy("path").collect()]
         manifest = {"dataset_schema": SCHEMA, "status": "complete", "config": asdict(config), "stats": stats, "shards": shards}
         manifest["dataset_id"] = identity(manifest)
-        if _state(raw) != before:
+        if source.listing() != before:
             raise RuntimeError("the sources changed during the build")
-        (passing / "metadata.json").write_text(json.dumps(manifest, indent=1))
-        if target.exists():
-            target.rmdir()
-        os.rename(passing, target)
+        passing.write("metadata.json", json.dumps(manifest, indent=1))
+        passing.publish(target)
     except BaseException:
-        shutil.rmtree(passing, ignore_errors=True)
+        passing.delete()
         raise
     return manifest
 
 
-def _state(raw: str) -> list[tuple]:
-    files = [p for p in Path(raw).rglob("*") if p.is_file()] if Path(raw).is_dir() else [Path(raw)]
-    return sorted((str(p), p.stat().st_size, p.stat().st_mtime_ns) for p in files)
+def manifest_problem(manifest: dict) -> str | None:
+    """Why a manifest can't be used, or None."""
+    if manifest.get("dataset_schema") != SCHEMA or manifest.get("status") != "complete":
+        return "not a complete dataset of this kind"
+    return None if identity(manifest) == manifest.get("dataset_id") else "the manifest doesn't match its identity"
 
 
-def load_manifest(out: str) -> dict:
+def load_manifest(spark: SparkSession, out: str) -> dict:
     """A dataset's manifest; raises where it is incomplete or altered."""
-    path = Path(out) / "metadata.json"
-    if not path.exists():
+    store = Store(spark, out)
+    if not store.exists("metadata.json"):
         raise ValueError(f"{out} has no manifest")
-    manifest = json.loads(path.read_text())
-    if manifest.get("dataset_schema") != SCHEMA or manifest.get("status") != "complete":
-        raise ValueError("not a complete dataset of this kind")
-    if identity(manifest) != manifest.get("dataset_id"):
-        raise ValueError("the manifest doesn't match its identity")
+    manifest = json.loads(store.read("metadata.json"))
+    if problem := manifest_problem(manifest):
+        raise ValueError(problem)
     return manifest
 
 
-def check_shards(out: str, manifest: dict, split: str | None = None) -> list[str]:
+def path_problem(path: str, split: str) -> str | None:
+    """why a listed path isn't one of a data file of a split, or None."""
+    parts = path.split("/")
+    if len(parts) != 2 or ".." in parts or "" in parts or not parts[0].startswith("split=") or parts[0].removeprefix("split=") not in SPLITS or not parts[1].endswith(".parquet"):
+        return f"unsafe path: {path}"
+    return None if split == parts[0].removeprefix("split=") else f"the path isn't of its split: {path}"
+
+
+def check_shards(spark: SparkSession, out: str, manifest: dict, split: str | None = None) -> list[str]:
     """The listed files of a split; raises at unsafe, missing, altered or unlisted ones."""
     if split is not None and split not in SPLITS:
         raise ValueError(f"no split: {split}")
-    root, listed = Path(out), []
+    store, listed = Store(spark, out), [entry["path"] for entry in manifest["shards"]]
+    for entry in manifest["shards"]:
+        if problem := path_problem(entry["path"], entry["split"]):
+            raise ValueError(problem)
+    actual = {name: size for name, size, _ in store.listing() if name.endswith(".parquet")}
     for entry in manifest["shards"]:
-        path = Path(entry["path"])
-        if path.is_absolute() or len(path.parts) != 2 or ".." in path.parts or path.parts[0].removeprefix("split=") not in SPLITS or path.suffix != ".parquet":
-            raise ValueError(f"unsafe path: {path}")
-        if entry["split"] != path.parts[0].removeprefix("split="):
-            raise ValueError(f"the path isn't of its split: {path}")
-        file = root / path
-        if file.is_symlink() or file.parent.is_symlink() or not file.is_file() or file.stat().st_size != entry["bytes"]:
-            raise ValueError(f"missing or altered: {path}")
-        listed.append(str(path))
-    actual = {str(p.relative_to(root)) for p in root.glob("split=*/*.parquet")}
-    if len(set(listed)) != len(listed) or set(listed) != actual:
+        if actual.get(entry["path"]) != entry["bytes"] or store.linked(entry["path"]):
+            raise ValueError(f"missing or altered: {entry['path']}")
+    if len(set(listed)) != len(listed) or set(listed) != set(actual):
         raise ValueError("files are listed twice, or aren't listed")
     return [p for p in listed if split is None or p.startswith(f"split={split}/")]
 
 
 def read(spark: SparkSession, out: str, split: str | None = None) -> DataFrame:
     """The samples of a dataset, or of one split, by the files that the manifest lists."""
-    paths = check_shards(out, load_manifest(out), split)
+    return _read(spark, out, check_shards(spark, out, load_manifest(spark, out), split))
+
+
+def _read(spark: SparkSession, out: str, paths: list[str]) -> DataFrame:
     kind = T.StructType([*SAMPLE.fields, T.StructField("split", T.StringType())])
     if not paths:
         return spark.createDataFrame([], kind)
     return spark.read.schema(kind).option("basePath", out).parquet(*[f"{out}/{p}" for p in paths])
 
 
+def clocks_vary(rows: DataFrame, board: str = "board") -> bool:
+    """whether the clocks of packed positions differ; positions without clocks have none that do."""
+    def byte(at: int) -> Column:
+        return F.conv(F.hex(F.substring(board, at, 1)), 16, 10).cast("int")
+
+    width = F.octet_length(board)
+    clocks = F.when(width == 146, F.struct(byte(145).alias("a"), byte(146).alias("b"))).when(width == 160, F.struct(F.shiftright(byte(145), 7).alias("a"), F.shiftright(byte(153), 7).alias("b")))
+    found = rows.select(clocks.alias("clocks")).distinct().limit(2).collect()
+    return len(found) > 1 and all(r["clocks"] is not None for r in found)
+
+
+def check_input_planes(spark: SparkSession, out: str, channels: int, shards: int = 3) -> None:
+    """refuse a model that reads the two clock planes (over 18) where they are constant in the first ``shards`` files."""
+    paths = check_shards(spark, out, load_manifest(spark, out))[:shards]
+    if channels > 18 and paths and not clocks_vary(_read(spark, out, paths)):
+        raise ValueError(f"{channels} planes include the clocks, which are constant in this dataset; use 18")
+
+
+def policy_problem(places: Column, scores: Column, most: int) -> Column:
+    """What is wrong with a position's policy targets, or null."""
+    outside = F.exists(places, lambda i: i.isNull() | (i < 0) | (i >= 4672))
+    beyond = F.exists(scores, lambda s: s.isNull() | (F.abs(s.cast("int")) > shaping.MATE + shaping.HORIZON))
+    return (
+        F.when(places.isNull() | (F.size(places) == 0), "none")
+        .when(F.size(places) != F.size(scores), "lengths")
+        .when(F.size(places) > most, "too many")
+        .when(outside, "outside")
+        .when(F.size(F.array_distinct(places)) < F.size(places), "repeated")
+        .when(beyond, "score")
+    )
+
+
 def audit(spark: SparkSession, out: str, legal_samples: int = 128, verify_checksums: bool = True) -> dict:
     """A report on a dataset; structure of every row, legality of evenly spread ones (0: of all)."""
     report: dict = {"valid": False, "errors": [], "limitations": ["Grouping by position proves no independence of games or times."]}
     try:
-        manifest = load_manifest(out)
-        check_shards(out, manifest)
+        manifest = load_manifest(spark, out)
+        paths = check_shards(spark, out, manifest)
         if verify_checksums:
             now = {r["path"]: r["sha256"] for r in checksums(spark, out).collect()}
             if altered := [s["path"] for s in manifest["shards"] if now.get(s["path"]) != s["sha256"]]:
                 raise ValueError(f"checksums differ: {altered[:32]}")
-        rows = read(spark, out)
+        rows = _read(spark, out, paths)
     except (OSError, ValueError, KeyError) as e:
         return report | {"errors": [str(e)], "error_count": 1}
     config = EvalConfig(**manifest["config"])
@@ -213,11 +240,10 @@ def audit(spark: SparkSession, out: str, legal_samples: int = 128, verify_checks
 
     seen = rows.withColumn("look", look("board", "position_hash"))
     gap = F.abs(shaping.expected(F.col("score")) - shaping.expected(F.array_max("policy_scores")))
-    places, scores = F.col("policy_indices"), F.col("policy_scores")
-    shape = (F.size(places) == F.size(scores)) & F.size(places).between(1, config.max_policy_targets) & (F.size(F.array_distinct(places)) == F.size(places)) & ~F.exists(places, lambda i: (i < 0) | (i >= 4672))
+    bad_targets = policy_problem(F.col("policy_indices"), F.col("policy_scores"), config.max_policy_targets)
     total = seen.agg(
         F.count("*").alias("positions_checked"),
-        F.count_if(~shape).alias("policy_shape"),
+        F.count_if(bad_targets.isNotNull()).alias("policy_shape"),
         F.count_if(~F.col("look.hash_ok")).alias("hash_mismatch"),
         F.count_if(F.col("look.split") != F.col("split")).alias("wrong_split"),
         F.count_if((F.col("depth") < config.min_depth) | (F.col("policy_depth") < F.col("depth") - config.policy_max_depth_gap)).alias("depth_policy"),

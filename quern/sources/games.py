@@ -83,21 +83,23 @@ def plies(games: DataFrame) -> DataFrame:
     """A row for each position of ``games`` (start_fen, moves, result): board, policy, value, ply."""
     names = ["board", "policy", "value", "ply"]
     kept = [f for f in games.schema.fields if f.name not in (*names, "start_fen", "moves", "result")]
+    own_names = [f.name for f in kept]
 
     def unroll(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
-            for own, start, moves, result in zip(frame[[f.name for f in kept]].itertuples(index=False, name=None), frame["start_fen"], frame["moves"], frame["result"], strict=True):
+            owned = list(zip(*(frame[c] for c in own_names), strict=True)) if own_names else [()] * len(frame)
+            for own, start, moves, result in zip(owned, frame["start_fen"], frame["moves"], frame["result"], strict=True):
                 board = board_of(start)
                 for ply, uci in enumerate(moves):
                     move = board.parse_uci(uci)
                     white = {"1-0": 1.0, "0-1": -1.0}.get(result, 0.0)
                     rows.append((*own, pack(board), policy_index(board.turn, move), white * board.turn + 0.0, ply))
                     board.push(move)
-            yield pd.DataFrame(rows, columns=[f.name for f in kept] + names)
+            yield pd.DataFrame(rows, columns=own_names + names)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["board binary", "policy int", "value float", "ply int"])
-    return games.select(*[f.name for f in kept], "start_fen", "moves", "result").mapInPandas(unroll, schema)
+    return games.select(*own_names, "start_fen", "moves", "result").mapInPandas(unroll, schema)
 
 
 def pgn(start: str, moves: list[str], headers: dict[str, str]) -> str:

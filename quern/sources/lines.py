@@ -2,21 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from quern.sources.store import Store
+
 
 def record_lines(spark: SparkSession, path: str, partitions: int | None = None) -> DataFrame:
-    """File, line (from 0), value of every line of ``*.jsonl*`` below ``path`` that isn't blank.
+    """File, line (its number in the file, from 0), value of every line of ``*.jsonl*`` below ``path`` that isn't blank.
 
-    Compressed files are one task each until they are dealt out; a line's number
-    is taken where its file is read, in order.
+    Files compressed with gzip or zstandard are one task each until they are dealt
+    out. A scan numbers lines as they come; the least number of each block of a
+    file, and the counts of the blocks before it, make that the line's own. Both
+    passes plan the same scan of the same listing, so their numbers agree; only a
+    row for each block is summed.
     """
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").format("binaryFile").load(path)
-    if files.select("path").isEmpty():
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*.jsonl*"}
+    if not Store(spark, path).exists() or spark.read.options(**options).format("binaryFile").load(path).select("path").isEmpty():
         raise FileNotFoundError(f"no record files below {path}")
-    lines = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl*").text(path)
-    lines = lines.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
+    scan = spark.read.options(**options).text(path)
+    scan = scan.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("seen"), "value")
+    blocks = scan.groupBy("file", "block").agg(F.min("seen").alias("least"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = scan.join(blocks.select("file", "block", "least", before.alias("before")), ["file", "block"])
+    lines = lines.select("file", (F.col("before") + F.col("seen") - F.col("least")).alias("line"), "value").where(F.trim(F.regexp_replace("value", r"\s+", " ")) != "")
     return lines.repartition(partitions) if partitions else lines
 
 

@@ -3,7 +3,7 @@ import pytest
 
 from quern.functions.encode import board_of
 from quern.functions.rules import Board
-from quern.functions.search import Node, RootSchedule, Search, SearchConfig, material_evaluator, play, principal_line, search_positions, select
+from quern.functions.search import Node, Search, SearchConfig, Tournament, material_evaluator, play, principal_line, random_opening, run_match, search_positions, select
 from quern.functions.targets import value_bins
 
 MATE_IN_ONE = "6k1/5ppp/8/8/8/8/5PPP/R5K1 w - - 0 1"
@@ -29,12 +29,54 @@ def test_first_of_equals_and_unseen_moves():
 
 def test_rescue_brings_moves_in():
     node = Node(Board().legal_moves()[:3], np.array([0.6, 0.3, 0.1]), 0.5)
-    schedule = RootSchedule(node, 8, SearchConfig(root="rescue", candidates=2))
-    schedule.begin(8)
-    assert schedule.left == [0, 1] and schedule.quota == 2
+    contest = Tournament(node, 8, SearchConfig(root="rescue", candidates=2))
+    contest.plan(8)
+    assert list(contest.agenda) == [0, 1] and [e.move for e in contest.inside] == [0, 1]
     node.visits[:2], node.sums[:2] = 1, -1
-    schedule.begin(6)
-    assert schedule.rescued == 1 and 2 in schedule.left
+    contest.plan(6)
+    assert contest.rescued == 1 and [e.move for e in contest.inside] == [0, 2] and list(contest.agenda) == [0, 2]
+
+
+@pytest.mark.parametrize(("value", "rescues"), [(0.8, True), (-0.8, False)])
+def test_rescue_only_where_values_fall_short(value, rescues):
+    moves = [m for u in ("e2e4", "d2d4", "c2c4") for m in Board().legal_moves() if m.uci() == u]
+    node = Node(moves, np.array([0.55, 0.35, 0.1]), value)
+    contest, worth, left = Tournament(node, 8, SearchConfig(root="rescue", candidates=2)), [-0.8, -0.6, 0.8], 8
+    while left:
+        if not contest.agenda:
+            contest.plan(left)
+        i = contest.agenda.popleft()
+        node.visits[i] += 1
+        node.sums[i] += worth[i]
+        left -= 1
+    assert node.visits.sum() == 8 and contest.rescued == int(rescues)
+    assert (node.visits[2] > 0) == rescues and (int(contest.policy().argmax()) == 2) == rescues
+
+
+@pytest.mark.parametrize("budget", [1, 2, 3, 7, 19])
+@pytest.mark.parametrize("root", ["halving", "rescue"])
+def test_small_and_odd_budgets(budget, root):
+    node, policy = Search(material_evaluator, SearchConfig(simulations=budget, root=root, batch=8, candidates=5)).run(Board())
+    assert node.visits.sum() == budget and abs(policy.sum() - 1) < 1e-9 and node.visits[int(policy.argmax())] > 0
+
+
+def test_value_breaks_equal_visits():
+    def evaluate(boards):
+        out = []
+        for b in boards:
+            n = len(b.legal_moves())
+            priors = np.zeros(n)
+            if b.fen() == Board().fen():
+                for u, p in (("e2e4", 0.8), ("d2d4", 0.2)):
+                    priors[[m.uci() for m in b.legal_moves()].index(u)] = p
+                out.append((priors, 0.0))
+            else:
+                out.append((np.full(n, 1 / n), -0.8 if b.cells[27] else 0.8))
+        return out
+
+    node, policy = Search(evaluate, SearchConfig(simulations=2, batch=2, root="halving", candidates=2)).run(Board())
+    ucis = [m.uci() for m in node.moves]
+    assert node.visits[ucis.index("e2e4")] == node.visits[ucis.index("d2d4")] == 1 and ucis[int(policy.argmax())] == "d2d4" and policy.max() > 0.99
 
 
 def test_positions_and_games(spark):
@@ -45,6 +87,24 @@ def test_positions_and_games(spark):
     assert moves[0] == "e2e4" and result in ("1-0", "0-1", "1/2-1/2") and why
 
 
+def test_match_is_paired(spark):
+    from quern.plans.games import match_report
+
+    def first():
+        return lambda board: board.legal_moves()[0]
+
+    games = run_match(spark, ("a", first), ("b", first), 3, opening_plies=4, seed=3, most=12)
+    rows = sorted(games.collect(), key=lambda r: r["round"])
+    assert [(r["round"], r["white"], r["black"]) for r in rows] == [(1, "a", "b"), (2, "b", "a"), (3, "a", "b")]
+    assert rows[0]["moves"][:4] == rows[1]["moves"][:4] == random_opening(4, 3, 0) and rows[0]["opening_plies"] == 4
+    assert all(r["termination"] == "max plies" and r["plies"] == 12 and len(r["moves"]) == 16 for r in rows)
+    assert match_report(games, "a").first()["pairs"] == 1
+    assert {r["white"] for r in run_match(spark, ("a", first), ("a", first), 2, openings=["4k3/8/8/8/8/8/4P3/4K3 w - - 0 1"], most=2).collect()} == {"a#A", "a#B"}
+    fools = iter(["f2f3", "e7e5", "g2g4", "d8h4"])
+    step = lambda b: b.parse_uci(next(fools))
+    assert play(step, step)[1:] == ("0-1", "checkmate")
+
+
 def test_value_bins():
     got = value_bins(np.array([0.0, 0.5, 1.0]), 8)
     assert np.allclose(got.sum(axis=1), 1) and got[0].argmax() == 0 and got[2].argmax() == 7
