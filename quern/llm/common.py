@@ -1,43 +1,92 @@
-"""Shared plumbing: working folders, written tables, files, and components."""
+"""Shared plumbing: working folders, written tables, files, worker memory, and components."""
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, so that long texts don't fill a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Bound what one Arrow batch holds, so that long texts don't fill a worker; bounds that are lower stay."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = str(spark.conf.get(key))
+        if not (now.isdigit() and 0 < int(now) <= most):
+            spark.conf.set(key, str(most))
+
+
+def release() -> None:
+    """Give a worker's freed memory back to the machine."""
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def released(run):
+    """A task's function over batches, after which the worker's memory is given back."""
+
+    def whole(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share.
 
-    It is taken from ``spark.checkpoint.dir``; a local one is made and set only
-    where the session names none, as in tests.
+    It is taken from ``spark.checkpoint.dir``; unset, a local one is made and set
+    where driver and executors are one machine, as in tests, and is an error
+    elsewhere.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="quern-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/quern-{name}-{uuid.uuid4().hex[:12]}"
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again, which ends its lineage."""
+    """Write ``df`` to the shared folder and read it again, which ends its lineage; ``discard`` removes it."""
     spark = df.sparkSession
     path = work_dir(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.quern_path = path
+    return found
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables that ``cut`` wrote and nothing will read again."""
+    for found in tables:
+        remove(found.sparkSession, found.quern_path)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -53,7 +102,7 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def put_file(uri: str, parts: list) -> int:
+def put_file(uri: str, parts) -> int:
     """Write ``parts`` as one file under a passing name and move it into place.
 
     A task that runs twice writes the same bytes to the same place.
@@ -76,7 +125,8 @@ def components(links: DataFrame) -> DataFrame:
     Every round takes the least label among the neighbours and then follows the
     label once; both tables of each join are written ones, so adaptive
     execution can split a hub. Nothing but the count of changes reaches the
-    driver. An empty table of links gives an empty result.
+    driver, and a round's tables go when the next has been written. An empty
+    table of links gives an empty result.
     """
     both = links.where("src != dst")
     both = both.union(both.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
@@ -84,12 +134,14 @@ def components(links: DataFrame) -> DataFrame:
     label = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low"))
     label = cut(label.select("node", F.least("node", "low").alias("component")), "labels")
     while True:
-        near = both.join(label.withColumnRenamed("node", "dst"), "dst")
+        near = both.join(label.select(F.col("node").alias("dst"), "component"), "dst")
         near = near.groupBy(F.col("src").alias("node")).agg(F.min("component").alias("low"))
         step = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "low").alias("component"))
         step = cut(step, "step")
         follow = step.select(F.col("node").alias("component"), F.col("component").alias("further"))
         after = cut(step.join(follow, "component").select("node", "old", F.col("further").alias("component")), "labels")
+        discard(label, step)
         if after.where("old != component").isEmpty():
+            discard(both)
             return after.select("node", "component")
-        label = after.select("node", "component")
+        label = after

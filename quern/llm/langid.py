@@ -5,10 +5,18 @@ character n-grams give each language's share of belief in the word. A Viterbi
 pass over the words, with a penalty for every change of language, labels spans;
 a text's language is that of most of its letters in such spans.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE`` documents,
-taken by a hash of the id); predictions read every whole text. A text without
-letters, or a null one, is ``und`` with score 0; so is all text where no row is
-labelled. Words of a script that no learned language uses favour none.
+The model is fitted on a bounded sample of labelled rows: about ``SAMPLE``
+documents, shared out evenly over the languages and taken by a hash of the id, so
+a rare language is learned at any size of the table. Of their features the
+``FEATURES`` most frequent are kept, less those seen fewer than ``LEAST_SEEN``
+times. Predictions read every whole text. A text without letters, or a null one,
+is ``und`` with score 0; so is all text where no row is labelled. Words of a
+script that no learned language uses favour none; of equal languages the first in
+order counts. Repeated rows are judged alike.
+
+A worker remembers scores of words up to ``MEMORY`` bytes and forgets them when
+its task ends; longer words than ``LONGEST_KEPT`` are scored each time. A text
+takes four bytes for each of its words and languages while it is labelled.
 """
 
 from __future__ import annotations
@@ -20,17 +28,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepare
+from quern.llm.common import prepare, released
 
-#: Labelled documents that a fit reads at most, but for the luck of the hash.
-SAMPLE = 12_000
+#: Labelled documents that a fit reads at most, but for the luck of the hash; features it keeps, and how often one must be seen.
+SAMPLE, FEATURES, LEAST_SEEN = 12_000, 200_000, 3
 #: Cost of a change of language, in nats, and the belief spread evenly over a word's candidates.
 SWITCH, DOUBT = 12.0, 0.05
-#: Words whose scores a worker keeps before it starts anew.
-MEMORY = 400_000
+#: Bytes of word scores that a worker keeps before it starts anew, what a word takes besides, characters of the longest kept.
+MEMORY, ENTRY, LONGEST_KEPT = 64 << 20, 200, 48
 #: First code point of a range and the script of the letters in it.
 SCRIPTS = [(0, "Latin"), (0x370, "Greek"), (0x400, "Cyrillic"), (0x530, "Armenian"), (0x590, "Hebrew"), (0x600, "Arabic"), (0x700, "Other"), (0x900, "Devanagari"), (0x980, "Bengali"), (0xA00, "Other"), (0xB80, "Tamil"), (0xC00, "Other"), (0xE00, "Thai"), (0xE80, "Other"), (0x10A0, "Georgian"), (0x1100, "Hangul"), (0x1200, "Other"), (0x1E00, "Latin"), (0x1F00, "Greek"), (0x2000, "Other"), (0x2C60, "Latin"), (0x2C80, "Other"), (0x3040, "Kana"), (0x3100, "Other"), (0x3130, "Hangul"), (0x3190, "Other"), (0x3400, "Han"), (0xA000, "Other"), (0xA720, "Latin"), (0xA800, "Other"), (0xAC00, "Hangul"), (0xD7B0, "Other"), (0xF900, "Han"), (0xFB00, "Other"), (0x20000, "Han"), (0x30000, "Other")]
 _STARTS = [s for s, _ in SCRIPTS]
@@ -80,30 +90,52 @@ class Model:
         return np.where(may, share, 1e-4)
 
 
+def tokens_of(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """(distinct words, the number of each word of all texts, where each text's words end); words are lower-cased and free of white space."""
+    rows = pc.utf8_split_whitespace(pc.utf8_lower(pc.fill_null(texts, "")))
+    flat = rows.flatten()
+    there = pc.greater(pc.binary_length(flat), 0).to_numpy(zero_copy_only=False)
+    ends = np.concatenate([[0], np.cumsum(there)])[rows.offsets.to_numpy()[1:] - rows.offsets.to_numpy()[0]]
+    coded = flat.filter(pa.array(there)).dictionary_encode()
+    return coded.dictionary.to_pylist(), coded.indices.to_numpy().astype(np.int64), ends
+
+
 def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id") -> Model:
     """A model from at most about ``sample`` of the rows that have a text and a language."""
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
-    n = labelled.where(F.col(lang_col).isNotNull()).count()
-    if n > sample:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1_000_000 * sample / n))
-
-    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    sizes = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    # The quota of a language is what is left when all smaller ones have theirs, shared evenly.
+    order = Window.orderBy("n", "lang")
+    shared = sizes.select("lang", "n", F.row_number().over(order).alias("place"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.count("*").over(Window.partitionBy()).alias("languages"))
+    quota = F.max(F.least(F.col("n"), F.floor((F.lit(sample) - F.least(F.lit(sample), F.col("before"))) / (F.col("languages") - F.col("place") + 1)))).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    shares = shared.select("lang", F.least(F.lit(1.0), quota / F.col("n")).alias("share"))
+    rows = rows.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: dict[str, Counter] = {}
-        for frame in frames:
-            for text, lang in zip(frame["text"], frame["lang"], strict=True):
-                tokens.setdefault(lang, Counter()).update(text.lower().split())
-        for lang, found in tokens.items():
+        for batch in batches:
+            langs = np.array(batch.column(1).to_pylist(), dtype=object)
+            words, place, ends = tokens_of(batch.column(0))
+            of = np.repeat(langs, np.diff(np.concatenate([[0], ends])))
+            for lang in set(langs.tolist()):
+                found = np.bincount(place[of == lang], minlength=len(words))
+                seen = tokens.setdefault(lang, Counter())
+                for i in np.flatnonzero(found).tolist():
+                    seen[words[i]] += int(found[i])
+        for lang, seen in tokens.items():
             totals: Counter = Counter()
-            for token, times in found.items():
+            for token, times in seen.items():
                 if word := letters(token):
                     totals["#" + script(word)] += times
                     for f in features(word):
                         totals[f] += times
-            yield pd.DataFrame({"feature": list(totals), "lang": lang, "n": list(totals.values())})
+            yield pa.RecordBatch.from_pydict({"feature": list(totals), "lang": [lang] * len(totals), "n": list(totals.values())}, schema=pa.schema([("feature", pa.string()), ("lang", pa.string()), ("n", pa.int64())]))
 
-    counts = rows.select("text", "lang").mapInPandas(count, "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
-    found = counts.where("n >= 3 or feature like '#%'").toPandas()
+    counts = rows.select("text", "lang").mapInArrow(released(count), "feature string, lang string, n long").groupBy("feature", "lang").agg(F.sum("n").alias("n"))
+    counts = counts.where(f"n >= {LEAST_SEEN} or feature like '#%'").groupBy("feature").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("of"))
+    counts = counts.orderBy(~F.col("feature").startswith("#"), F.desc("total"), "feature").limit(FEATURES)
+    found = counts.select("feature", F.explode("of").alias("of")).select("feature", "of.lang", "of.n").toPandas()
     languages = sorted(found["lang"].unique())
     scripts: dict[str, np.ndarray] = {}
     marks = found[found["feature"].str.startswith("#")]
@@ -173,69 +205,81 @@ def paths(texts: list[np.ndarray], switch: float = SWITCH) -> list[np.ndarray]:
 
 
 class Labeller:
-    """A worker's model with the scores of words met lately."""
-
-    def __init__(self, model: Model):
-        self.model, self.rows = model, {"": 0}
-        n = len(model.languages)
-        self.share, self.logs, self.size = np.ones((1, n)), np.zeros((1, n)), np.zeros(1, np.int64)
-
-    def _learn(self, tokens: set[str]) -> None:
-        fresh = list(tokens - self.rows.keys())
-        if len(self.rows) + len(fresh) > MEMORY:
-            kept = list(tokens & self.rows.keys() | {""})
-            at = np.array([self.rows[t] for t in kept])
-            self.share, self.logs, self.size = self.share[at], self.logs[at], self.size[at]
-            self.rows = {t: i for i, t in enumerate(kept)}
-        if not fresh:
-            return
-        words = [letters(t) for t in fresh]
-        share = np.ones((len(fresh), self.share.shape[1]))
-        if some := [i for i, w in enumerate(words) if w]:
-            share[some] = self.model.beliefs([words[i] for i in some])
+    """A task's model with the scores of words met lately."""
+
+    def __init__(self, model: Model, memory: int = MEMORY):
+        self.model, self.memory = model, memory
+        self.room = max(1, memory // (ENTRY + 8 * len(model.languages)))
+        self.forget()
+
+    def forget(self) -> None:
+        self.rows: dict[str, int] = {}
+        self.logs, self.size = np.zeros((0, len(self.model.languages)), np.float32), np.zeros(0, np.int32)
+
+    def scores(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(log shares of the languages, letters) of distinct words; those without letters favour none."""
+        places = np.fromiter((self.rows.get(w, -1) for w in words), np.int64, len(words))
+        logs, size = np.zeros((len(words), len(self.model.languages)), np.float32), np.zeros(len(words), np.int64)
+        known = np.flatnonzero(places >= 0)
+        logs[known], size[known] = self.logs[places[known]], self.size[places[known]]
+        fresh = np.flatnonzero(places < 0).tolist()
+        spelled = [letters(words[i]) for i in fresh]
+        some = [i for i, w in zip(fresh, spelled, strict=True) if w]
+        if some:
+            named = [w for w in spelled if w]
+            logs[some] = np.log(self.model.beliefs(named))
+            size[some] = [len(w) for w in named]
+        kept = [i for i in fresh if len(words[i]) <= LONGEST_KEPT]
+        if len(self.rows) + len(kept) > self.room:
+            self.forget()
+        kept = kept[: self.room]
         start = len(self.rows)
-        self.rows.update(zip(fresh, range(start, start + len(fresh)), strict=True))
-        need = start + len(fresh)
-        if need > len(self.size):
-            more = max(need, 2 * len(self.size)) - len(self.size)
-            self.share, self.logs = (np.vstack([x, np.zeros((more, x.shape[1]))]) for x in (self.share, self.logs))
-            self.size = np.append(self.size, np.zeros(more, np.int64))
-        self.share[start:need], self.logs[start:need] = share, np.log(share)
-        self.size[start:need] = [len(w) for w in words]
-
-    def label(self, texts: list[str | None]) -> list[tuple]:
-        split = [(t or "").lower().split() for t in texts]
-        if not self.model.languages:
-            return [("und", 0.0, []) for _ in texts]
-        self._learn(set().union(*split))
-        rows = [np.fromiter(map(self.rows.__getitem__, tokens), np.int64, len(tokens)) for tokens in split]
-        lettered = [i for i, r in enumerate(rows) if self.size[r].any()]
-        alone = {i: single(self.logs[rows[i]]) for i in lettered}
+        if start + len(kept) > len(self.size):
+            more = max(start + len(kept), min(self.room, 2 * len(self.size))) - len(self.size)
+            self.logs = np.vstack([self.logs, np.zeros((more, self.logs.shape[1]), np.float32)])
+            self.size = np.append(self.size, np.zeros(more, np.int32))
+        self.logs[start : start + len(kept)], self.size[start : start + len(kept)] = logs[kept], size[kept]
+        self.rows.update({words[i]: start + k for k, i in enumerate(kept)})
+        return logs, size
+
+    def label(self, texts: pa.Array | list[str | None]) -> list[dict]:
+        n, none = len(texts), {"lang": "und", "score": 0.0, "spans": []}
+        if not self.model.languages or not n:
+            return [none] * n
+        words, place, ends = tokens_of(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()))
+        logs, size = self.scores(words)
+        begins = np.concatenate([[0], ends[:-1]])
+        total = np.concatenate([[0], np.cumsum(size[place])])
+        lettered = np.flatnonzero(total[ends] > total[begins]).tolist()
+        rows = {i: place[begins[i] : ends[i]] for i in lettered}
+        alone = {i: single(logs[r]) for i, r in rows.items()}
         mixed = [i for i in lettered if alone[i] is None]
-        path_of = dict(zip(mixed, paths([self.logs[rows[i]] for i in mixed]), strict=True))
-        out: list[tuple] = [("und", 0.0, [])] * len(texts)
+        path_of = dict(zip(mixed, paths([logs[rows[i]] for i in mixed]), strict=True))
+        out = [none] * n
         for i in lettered:
-            size, n = self.size[rows[i]], len(rows[i])
-            lang, edges = alone[i], [0, n]
+            own, m = size[rows[i]], len(rows[i])
+            lang, edges = alone[i], [0, m]
             if i in path_of:
                 path = path_of[i]
-                edges = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), n]
-                lang = int(np.bincount(path, weights=size, minlength=self.share.shape[1]).argmax())
-            score = float(self.share[rows[i], lang] @ size) / int(size.sum())
+                edges = [0, *(np.flatnonzero(path[1:] != path[:-1]) + 1).tolist(), m]
+                lang = int(np.bincount(path, weights=own, minlength=logs.shape[1]).argmax())
+            score = float(np.exp(logs[rows[i], lang].astype(float)) @ own) / int(own.sum())
             of = (lambda a, p=path_of.get(i), lang=lang: lang if p is None else int(p[a]))
-            out[i] = (self.model.languages[lang], min(1.0, score), [(self.model.languages[of(a)], a, b) for a, b in zip(edges, edges[1:], strict=False)])
+            spans = [{"lang": self.model.languages[of(a)], "start": a, "end": b} for a, b in zip(edges, edges[1:], strict=False)]
+            out[i] = {"lang": self.model.languages[lang], "score": min(1.0, score), "spans": spans}
         return out
 
 
+_KIND = pa.struct([("lang", pa.string()), ("score", pa.float64()), ("spans", pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int32()), ("end", pa.int32())])))])
+
+
 def identify(docs: DataFrame, model: Model, name: str = "language", text_col: str = "text") -> DataFrame:
     """``docs`` with one more column, a struct of lang, score and the spans' lang, start and end words."""
     prepare(docs.sparkSession)
-    made: list[Labeller] = []
 
-    @F.pandas_udf(RESULT)
-    def label(texts: pd.Series) -> pd.DataFrame:
-        if not made:
-            made.append(Labeller(model))
-        return pd.DataFrame(made[0].label(texts.tolist()), columns=["lang", "score", "spans"])
+    @F.arrow_udf(RESULT)
+    def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        made = Labeller(model)
+        yield from released(lambda texts: (pa.array(made.label(t), _KIND) for t in texts))(batches)
 
     return docs.withColumn(name, label(F.col(text_col).cast("string")))

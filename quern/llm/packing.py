@@ -19,18 +19,24 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, prepare
+from quern.llm.common import cut, prepare, released
 from quern.llm.tokens import encoder
+from quern.llm.words import spread
 
-#: Groups of large pieces, and the least share of a sequence that counts as large.
-GROUPS, LARGE = 320, 0.4
+#: Groups of large pieces, the least share of a sequence that counts as large, and rounds of column generation without gain after which it ends.
+GROUPS, LARGE, PATIENCE = 320, 0.4, 1000
 
 
-def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds: int = 3000) -> list[tuple[np.ndarray, float]]:
-    """A vertex of the configuration program: (how often each size, times), by column generation."""
+def configurations(sizes: list[int], demand: np.ndarray, capacity: int) -> list[tuple[np.ndarray, float]]:
+    """A vertex of the configuration program: (how often each size, times), by column generation.
+
+    Columns are exchanged until no configuration pays, or until PATIENCE of them
+    in a row have not lowered the number of sequences, as at a degenerate vertex.
+    """
     k = len(sizes)
     basis = np.diag([float(capacity // s) for s in sizes])
     weight = np.array(sizes)
@@ -38,7 +44,8 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
     ok = reach >= 0
     reach = np.where(ok, reach, 0)
     depth = capacity // min(sizes)
-    for _ in range(rounds):
+    fewest, idle = np.inf, 0
+    while idle < PATIENCE:
         price = np.linalg.solve(basis.T, np.ones(k))
         best, picks = np.zeros(capacity + 1), []
         for _ in range(depth):
@@ -57,6 +64,8 @@ def configurations(sizes: list[int], demand: np.ndarray, capacity: int, rounds:
                 left -= sizes[pick[left]]
         amount, way = np.linalg.solve(basis, demand), np.linalg.solve(basis, column)
         ratio = np.where(way > 1e-9, np.maximum(amount, 0) / np.where(way > 1e-9, way, 1), np.inf)
+        total = float(amount.sum())
+        fewest, idle = (total, 0) if total < fewest - 1e-7 * max(1.0, total) else (fewest, idle + 1)
         basis[:, int(ratio.argmin())] = column
     amount = np.linalg.solve(basis, demand)
     return [(basis[:, i].astype(int), float(amount[i])) for i in range(k)]
@@ -203,40 +212,54 @@ def cut_lengths(n: int, capacity: int) -> list[int]:
     return [first] + [capacity] * ((n - first) // capacity)
 
 
-def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 2, digest=None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, piece, start, length, ids (little-endian binary), digest, block, local_rank; written once.
+def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 2, digest=None, with_ids: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, piece, start, length, digest, block, local_rank and, if asked for, ids (little-endian binary); written once.
 
-    ``digest`` maps an array of ids to a long. A null text is empty: its only
-    piece holds the end id.
+    ``digest`` maps an array of ids to a whole number.
     """
     prepare(docs.sparkSession)
-    names = ["doc_id", "piece", "start", "length", "ids", "digest", "block", "local_rank"]
-
-    def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    fields = [("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("digest", pa.int64()), ("block", pa.int32()), ("local_rank", pa.int64())]
+    schema = pa.schema([*fields, ("ids", pa.binary())] if with_ids else fields)
+
+    def cut_up(coder, batch: pa.RecordBatch, block: int, seen: np.ndarray) -> pa.RecordBatch:
+        """The pieces of a batch; ``seen`` counts those of each length so far."""
+        ids, ends = coder.arrays(batch.column(1))
+        ids = np.insert(ids, ends, end_id)
+        ends = ends + np.arange(1, len(ends) + 1)
+        total = np.diff(np.concatenate([[0], ends]))
+        head = (total - 1) % capacity + 1
+        count = (total - head) // capacity + 1
+        piece = spread(np.zeros(len(count)), count)
+        length = np.where(piece == 0, np.repeat(head, count), capacity)
+        start = np.where(piece == 0, 0, np.repeat(head, count) + (piece - 1) * capacity)
+        at = np.repeat(ends - total, count) + start
+        order = np.argsort(length, kind="stable")
+        sizes = length[order]
+        first = np.concatenate([[True], sizes[1:] != sizes[:-1]])
+        rank = np.empty(len(order), np.int64)
+        rank[order] = np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) + seen[sizes]
+        seen += np.bincount(length, minlength=capacity + 1)
+        parts = [ids[a:b] for a, b in zip(at.tolist(), (at + length).tolist(), strict=True)]
+        columns = [batch.column(0).take(pa.array(np.repeat(np.arange(len(count)), count))), piece, start, length, [digest(x) for x in parts] if digest else [None] * len(parts), np.full(len(parts), block), rank]
+        if with_ids:
+            columns.append([x.tobytes() for x in parts])
+        return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId()
-        coder = encoder(tokenizer_path)
-        seen = [0] * (capacity + 1)
-        end = np.array([end_id], dtype=coder.dtype)
-        for frame in frames:
-            rows = []
-            for doc, code in zip(frame["doc_id"], coder.encode([t or "" for t in frame["text"]]), strict=True):
-                ids = np.concatenate([np.frombuffer(code, coder.dtype), end])
-                at = 0
-                for piece, length in enumerate(cut_lengths(len(ids), capacity)):
-                    part = ids[at : at + length]
-                    rows.append((doc, piece, at, length, part.tobytes(), digest(part) if digest else None, block, seen[length]))
-                    seen[length] += 1
-                    at += length
-            yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64", "digest": "Int64"})
-
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return cut(docs.mapInPandas(split, "doc_id long, piece int, start long, length long, ids binary, digest long, block int, local_rank long"), "pieces")
+        seen = np.zeros(capacity + 1, np.int64)
+        with encoder(tokenizer_path) as coder:
+            yield from (cut_up(coder, batch, block, seen) for batch in batches if batch.num_rows)
+
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kinds = "doc_id long, piece int, start long, length long, digest long, block int, local_rank long"
+    return cut(docs.mapInArrow(released(split), kinds + ", ids binary" * with_ids), "pieces")
 
 
 def place(parts: DataFrame, capacity: int) -> tuple[DataFrame, Plan]:
-    """``parts`` without ids, with sequence_id and offset; and the plan."""
+    """``parts`` without ids, with sequence_id and offset; and the plan. What reaches the driver is a count for each length."""
     counts = cut(parts.groupBy("block", "length").agg(F.count("*").alias("n")), "lengths")
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan = Plan(histogram, capacity)

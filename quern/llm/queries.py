@@ -18,7 +18,7 @@ def packed(docs: DataFrame) -> DataFrame:
     import public_tokenizers
 
     path = public_tokenizers.path("byte_bpe_50k.json")
-    parts = packing.pieces(docs, path, 1024, digest=lambda ids: token_store.crc32(ids)[0])
+    parts = packing.pieces(docs, path, 1024, digest=lambda ids: token_store.crc32(ids)[0], with_ids=False)
     placed, _ = packing.place(parts, 1024)
     return placed.select("doc_id", "piece", "start", "length", F.col("digest").alias("ids_crc32"), "sequence_id", "offset")
 

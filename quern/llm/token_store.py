@@ -25,15 +25,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, filesystem, partitions, prepare, put_file, work_dir
+from quern.llm.common import cut, filesystem, partitions, prepare, put_file, released, work_dir
 from quern.llm.tokens import encoder
 
 MAGIC = b"QTOKENS1"
-#: One set bit in so many has its place in the select directory.
-STEP = 256
+#: One set bit in so many has its place in the select directory; bytes of ids at which a shard is written.
+STEP, TARGET = 256, 64 << 20
 
 
 class EliasFano:
@@ -101,16 +102,16 @@ class EliasFano:
         return cls(n, width, raw[:a], raw[a : a + b], raw[a + b : a + b + c * size].view(f"<u{size}"))
 
 
-def shard_parts(doc_ids: list[int | None], codes: list[bytes], id_bytes: int) -> list[bytes]:
-    """The file of these documents, whose ids ascend with nulls first."""
+def shard_parts(doc_ids: list[int | None], lengths: list[int], codes: list[np.ndarray], id_bytes: int) -> list[bytes]:
+    """The file of documents of these ids, which ascend with nulls first, and so many token ids; ``codes`` holds all of them in arrays of any size."""
     known = [d for d in doc_ids if d is not None]
     base = known[0] if known else 0
     ids = EliasFano.of(np.array(known, dtype=np.int64) - base).to_bytes()
-    ends = np.cumsum([len(c) // id_bytes for c in codes], dtype=np.int64)
+    ends = np.cumsum(lengths, dtype=np.int64)
     places = EliasFano.of(ends).to_bytes()
-    header = {"docs": len(codes), "ids": int(ends[-1]) if len(codes) else 0, "id_bytes": id_bytes, "base": base, "null_ids": len(doc_ids) - len(known), "sections": [len(ids), len(places)]}
+    header = {"docs": len(lengths), "ids": int(ends[-1]) if lengths else 0, "id_bytes": id_bytes, "base": base, "null_ids": len(doc_ids) - len(known), "sections": [len(ids), len(places)]}
     head = json.dumps(header).encode()
-    return [MAGIC, len(head).to_bytes(4, "little"), head, ids, places, *codes]
+    return [MAGIC, len(head).to_bytes(4, "little"), head, ids, places, *[c.tobytes() for c in codes]]
 
 
 class Shard:
@@ -164,38 +165,65 @@ def open_shard(uri: str) -> tuple[Shard, object]:
     return Shard(read, handle.size()), handle
 
 
-def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", target: int = TARGET) -> DataFrame:
     """Encode and write every document; the manifest: shard, path, docs, ids, bytes.
 
-    Documents are dealt to shards by ranges of their id, so a frequent value of
-    any other column plays no part; documents with the same id are ordered by
-    text. A shard's texts pass through in batches, and its ids are held until
-    its file is written.
+    Documents are dealt by ranges of their id and a hash of their text, and of a
+    number for rows that are the same, so neither a frequent value nor copies meet
+    in one task and only numbers are sampled for the ranges. A task writes a shard
+    whenever its ids have reached ``target`` bytes and holds no more than that; a
+    longer document is a shard of its own. Documents with one id follow the hash.
     """
     spark = docs.sparkSession
     prepare(spark)
     n = shards or partitions(spark)
-    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = dealt.repartitionByRange(n, F.asc_nulls_first("doc_id"), F.asc_nulls_first("text")).sortWithinPartitions(F.asc_nulls_first("doc_id"), F.asc_nulls_first("text"))
+    dealt = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    dealt = dealt.withColumn("hash", F.xxhash64("text")).withColumn("copy", F.monotonically_increasing_id())
+    order = [F.asc_nulls_first("doc_id"), F.asc("hash"), F.asc("copy")]
+    dealt = dealt.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
-    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard = TaskContext.get().partitionId()
-        coder = encoder(tokenizer_path)
-        end = np.array([end_id], dtype=coder.dtype).tobytes()
-        keys: list[int | None] = []
-        codes: list[bytes] = []
-        for frame in frames:
-            keys += [None if pd.isna(d) else int(d) for d in frame["doc_id"]]
-            codes += [c + end for c in coder.encode([t or "" for t in frame["text"]])]
-        if codes:
-            path = f"{folder}/shard-{shard:06d}.qtok"
-            size = put_file(path, shard_parts(keys, codes, coder.dtype.itemsize))
-            ids = sum(map(len, codes)) // coder.dtype.itemsize
-            yield pd.DataFrame({"shard": [shard], "path": [path], "docs": [len(codes)], "ids": [ids], "bytes": [size]})
+        part = TaskContext.get().partitionId()
+        with encoder(tokenizer_path) as coder:
+            yield from _write(coder, batches, part)
 
-    return cut(dealt.mapInPandas(write, "shard int, path string, docs long, ids long, bytes long"), "tokens-manifest")
+    def _write(coder, batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
+        width, number, size = coder.dtype.itemsize, 0, 0
+        keys: list[int | None] = []
+        codes: list[np.ndarray] = []
+        lengths: list[int] = []
+
+        def close() -> pa.RecordBatch:
+            path = f"{folder}/shard-{part:06d}-{number:05d}.qtok"
+            size = put_file(path, shard_parts(keys, lengths, codes, width))
+            out = {"shard": [part << 20 | number], "path": [path], "docs": [len(keys)], "ids": [sum(lengths)], "bytes": [size]}
+            for held in (keys, codes, lengths):
+                held.clear()
+            return pa.RecordBatch.from_pydict(out, schema=pa.schema([("shard", pa.int64()), ("path", pa.string()), ("docs", pa.int64()), ("ids", pa.int64()), ("bytes", pa.int64())]))
+
+        for batch in batches:
+            ids, ends = coder.arrays(batch.column(1))
+            ids = np.insert(ids, ends, end_id)
+            ends = ends + np.arange(1, len(ends) + 1)
+            begin, done = 0, 0
+            names = batch.column(0).to_pylist()
+            while begin < len(names):
+                stop = max(begin + 1, int(np.searchsorted(ends, done + (target - size) // width, "right")))
+                end = int(ends[stop - 1])
+                keys += names[begin:stop]
+                lengths += np.diff(np.concatenate([[done], ends[begin:stop]])).tolist()
+                codes.append(ids[done:end])
+                size += (end - done) * width
+                begin, done = stop, end
+                if size >= target or begin < len(names):
+                    yield close()
+                    number, size = number + 1, 0
+        if keys:
+            yield close()
+
+    return cut(dealt.mapInArrow(released(write), "shard long, path string, docs long, ids long, bytes long"), "tokens-manifest")
 
 
 def read_shards(manifest: DataFrame, row=None, schema: str = "ids array<long>") -> DataFrame:
@@ -224,7 +252,7 @@ def read_shards(manifest: DataFrame, row=None, schema: str = "ids array<long>")
                     yield _frame(rows, names)
 
     n = partitions(manifest.sparkSession)
-    return files.repartition(n).mapInPandas(read, f"doc_id long, start long, n_tokens long, {schema}")
+    return files.repartition(n).mapInPandas(released(read), f"doc_id long, start long, n_tokens long, {schema}")
 
 
 def _frame(rows: list[tuple], names: list[str]) -> pd.DataFrame:

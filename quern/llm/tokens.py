@@ -2,9 +2,13 @@
 
 A tokenizer splits a text into words before it merges, so a text's ids are the
 ids of its words one after another. Where that split is known to fall before
-every single space that stands before a visible character, texts are cut there
-and the words' ids are kept in a bounded memory for the worker's life.
-Other tokenizers encode whole texts.
+every single space that stands before a visible character, a batch of texts is
+cut there and its distinct words are found by Arrow; only they are looked up or
+encoded, and a text's ids are gathered from theirs. Other tokenizers, and texts
+that can't be cut so, are encoded whole.
+
+Words met lately are remembered up to a bound in bytes and forgotten when a task
+ends; a worker keeps the tokenizer itself, whose size its file bounds.
 """
 
 from __future__ import annotations
@@ -12,29 +16,41 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from quern.llm.words import spread
 
 #: A space before anything that isn't white space.
 _CUT = re.compile(r" (?=\S)")
 _ODD = re.compile(r" (?:\s|\Z)")
-#: Words that one generation of the memory holds; there are two generations.
-MEMORY = 700_000
-#: Longer words are encoded anew each time.
-LONGEST_KEPT = 48
+#: Bytes of remembered words and their ids, and what an entry takes besides its word and ids.
+MEMORY, ENTRY = 160 << 20, 190
+#: Longer words are encoded anew each time; characters of texts that are cut together.
+LONGEST_KEPT, GROUP = 48, 2 << 20
+
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_LOADED: dict[str, WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for this file, made once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+@contextmanager
+def encoder(path: str) -> Iterator[WordEncoder]:
+    """The worker's encoder for this file, which forgets its words at the end."""
+    if path not in _LOADED:
+        _LOADED[path] = WordEncoder(path)
+    coder = _LOADED[path]
+    try:
+        yield coder
+    finally:
+        coder.forget()
 
 
 class WordEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, memory: int = MEMORY):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -45,8 +61,13 @@ class WordEncoder:
         self.mode = _mode(pre)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.separator: list[int] | None = None
+        self.memory = memory
+        self.forget()
+
+    def forget(self) -> None:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.held = 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -76,48 +97,106 @@ class WordEncoder:
             if len(ends) != len(part):
                 out += self._ids([mark + w if w else "" for w in part])
                 continue
+            data, size = ids.tobytes(), ids.itemsize
             begin = 0
-            for word, end in zip(part, ends.tolist(), strict=True):
-                out.append(ids[begin : end - tail].tobytes() if word else b"")
+            for word, end in zip(part, (ends * size).tolist(), strict=True):
+                out.append(data[begin : end - tail * size] if word else b"")
                 begin = end
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian integers of ``dtype``."""
-        if self.mode is None:
-            return self._ids(texts)
-        split, heads = [], None
+    def _known(self, words: list[str], mark: str) -> list[bytes]:
+        """The ids of distinct words, from memory where it has them."""
+        codes = list(map(self.young.get, words))
+        if self.held > self.memory // 2:
+            self.old, self.young, self.held = self.young, {}, 0
+        old, young, size = self.old, self.young, 0
+        missing = []
+        for i, code in enumerate(codes):
+            if code is None:
+                code = codes[i] = old.get(words[i])
+                if code is None:
+                    missing.append(i)
+                else:
+                    young[words[i]] = code
+                    size += ENTRY + len(words[i]) + len(code)
+        fresh = [words[i] for i in missing]
+        for i, word, code in zip(missing, fresh, self._words(fresh, mark), strict=True):
+            codes[i] = code
+            if len(word) <= LONGEST_KEPT:
+                young[word] = code
+                size += ENTRY + len(word) + len(code)
+        self.held += size
+        return codes
+
+    def arrays(self, texts: pa.Array | list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the ids of all texts one after another, where each text ends)."""
+        texts = texts.to_pylist() if isinstance(texts, pa.Array) else texts
+        ids, ends, at = [], [], 0
+        for group in _groups(texts):
+            own, stops = self._arrays(group)
+            ids.append(own)
+            ends.append(stops + at)
+            at += len(own)
+        if not ids:
+            return np.zeros(0, self.dtype), np.zeros(0, np.int64)
+        return np.concatenate(ids), np.concatenate(ends)
+
+    def _arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        try:
+            cut = pa.array([self._marked(t) for t in texts], pa.string()) if self.mode and not any("\0" in t for t in texts) else None
+        except (UnicodeEncodeError, pa.ArrowInvalid):
+            cut = None
+        if cut is None:
+            codes = self._ids(texts)
+            return np.frombuffer(b"".join(codes), self.dtype), np.cumsum([len(c) // self.dtype.itemsize for c in codes], dtype=np.int64)
+        rows = pc.split_pattern(cut, "\0")
+        ends = rows.offsets.to_numpy()[1:].astype(np.int64)
+        words = rows.flatten().dictionary_encode()
+        place = words.indices.to_numpy().astype(np.int64)
         if self.mode == "drop":
-            split = [t.replace("\n", " ").split(" ") for t in texts]
-            mark = ""
+            codes = self._known(words.dictionary.to_pylist(), "")
         else:
-            mark = " "
-            split = [_CUT.split(t) if _ODD.search(t) else t.split(" ") for t in texts]
-            heads = self._ids([words[0] for words in split])
-            for words in split:
-                words[0] = ""
-        need = set().union(*split)
-        if len(self.young) + len(need) > MEMORY:
-            self.old, self.young = self.young, {}
-        need.difference_update(self.young)
-        passing = None
-        if len(need) > MEMORY // 2:
-            passing = dict(self.young)
-        ids = self.young if passing is None else passing
-        if self.old:
-            for word in need & self.old.keys():
-                ids[word] = self.old[word]
-                need.discard(word)
-        need = list(need)
-        for word, code in zip(need, self._words(need, mark), strict=True):
-            ids[word] = code
-        out = [b"".join(map(ids.__getitem__, words)) for words in split]
-        if heads is not None:
-            out = [head + rest for head, rest in zip(heads, out, strict=True)]
-        for word in need:
-            if len(word) > LONGEST_KEPT:
-                del ids[word]
-        return out
+            # A text's first word has no space before it, so it is encoded apart.
+            heads = np.concatenate([[0], ends[:-1]])
+            first = [t.partition("\0")[0] for t in cut.to_pylist()]
+            later = np.ones(len(place), bool)
+            later[heads] = False
+            kept = np.zeros(len(words.dictionary), bool)
+            kept[place[later]] = True
+            known = iter(self._known(pc.filter(words.dictionary, pa.array(kept)).to_pylist(), " "))
+            codes = [next(known) if k else b"" for k in kept.tolist()]
+            place[heads] = len(codes) + np.arange(len(texts))
+            codes += self._ids(first)
+        size = np.fromiter(map(len, codes), np.int64, len(codes)) // self.dtype.itemsize
+        flat = np.frombuffer(b"".join(codes), self.dtype)
+        length = size[place]
+        return flat[spread((np.cumsum(size) - size)[place], length)], np.cumsum(length)[ends - 1]
+
+    def _marked(self, text: str) -> str:
+        """A text with a null character in place of each cut."""
+        if self.mode == "drop":
+            return text.replace("\n", "\0").replace(" ", "\0")
+        return _CUT.sub("\0", text) if _ODD.search(text) else text.replace(" ", "\0")
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian integers of ``dtype``."""
+        ids, ends = self.arrays(texts)
+        data, width = ids.tobytes(), self.dtype.itemsize
+        edge = [0, *(ends * width).tolist()]
+        return [data[a:b] for a, b in zip(edge, edge[1:], strict=False)]
+
+
+def _groups(texts: list[str]) -> Iterator[list[str]]:
+    """The texts in groups of bounded size; a longer text alone."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > GROUP:
+            yield group
+            group, size = [], 0
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group
 
 
 def _mode(pre: dict) -> str | None:

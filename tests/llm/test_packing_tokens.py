@@ -34,15 +34,12 @@ def _coder(name):
     return _MADE[name]
 
 
-def test_memory_is_bounded(monkeypatch):
-    from quern.llm import tokens
-
-    monkeypatch.setattr(tokens, "MEMORY", 50)
-    coder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"))
+def test_memory_is_bounded():
+    coder = WordEncoder(public_tokenizers.path("word_bpe_49k.json"), 20_000)
     for i in range(20):
         text = " ".join(f"w{i * j}" for j in range(30))
         assert np.frombuffer(coder.encode([text])[0], coder.dtype).tolist() == coder.tokenizer.encode(text, add_special_tokens=False).ids
-        assert len(coder.young) <= 80 and len(coder.old) <= 80
+        assert len(coder.young) <= 85 and len(coder.old) <= 85
 
 
 @settings(max_examples=60, deadline=None)
