@@ -1,19 +1,22 @@
 """Benchmark decontamination by suffix arrays over shards of the training texts.
 
-Each batch of documents is a shard. Its words, as numbers of the benchmark's
-vocabulary, are sorted by suffix; every test suffix is searched for by bisection
-in every shard, so nothing is shuffled and a passage that many documents hold
-costs only its occurrences. A word that no item has ends every match, so no
-suffix begins with one, and suffixes are told apart up to the longest item.
+The documents are cut into shards of about ``SHARD_WORDS`` words. A shard holds its
+vocabulary, its words as numbers of that, and its suffixes sorted by their first
+``DEPTH`` words; shards are written once and serve any benchmark. A benchmark is
+cut into blocks of bounded size, written as files that tasks read, so neither its
+texts nor anything else that grows passes through the driver. Every test suffix is
+searched for by bisection in every shard: the training suffixes that share its
+first ``width`` words lie together, those that also share the word before are
+within a longer match, and the others are compared on to the longest verbatim
+match. Nothing is shuffled but what a caller joins, and a passage that many
+documents hold costs only its occurrences, looked at ``PAIRS`` at a time.
 
 Words are maximal runs of ASCII letters and digits and of all characters from
-U+0080 on, with A-Z lowered. A window is ``width`` consecutive words of an item,
-or a whole item of fewer. Null and empty texts have no words. Repeated rows are
-judged alike; items that repeat each count. Items without an id are searched for
-as well and together are one item, null.
-
-The benchmark is shipped to the tasks in chunks of a bounded number of
-characters; the documents pass through one search per chunk.
+U+0080 on, with A-Z lowered, and are told apart by 64-bit codes. A window is
+``width`` consecutive words of an item, or a whole item of fewer. Null and empty
+texts have no words. Repeated rows are judged alike; items that repeat each count.
+Items without an id are searched for as well and together are one item, null. A
+document or item beyond the size of a shard or block is one of its own.
 """
 
 from __future__ import annotations
@@ -21,21 +24,21 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import prepare
-
-WIDTH = 10
-#: Characters of benchmark text that one pass ships to every task.
-CHUNK_CHARS = 16_000_000
-_FOLD = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
-RESULT = "n_words long, n_hit long, items array<string>, matches array<struct<item:string,doc_start:int,item_start:int,length:int>>, hits array<int>"
-
+from quern.llm.common import cut, discard, filesystem, prepare, put_file, released, remove, work_dir
+from quern.llm.words import LETTERS, coded, spread
 
-def words(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").translate(_FOLD).split()
+#: Words of a window, and by how many a shard's suffixes are sorted.
+WIDTH, DEPTH = 10, 16
+#: Words of a shard and of a block of the benchmark, and pairs of a test and a training suffix looked at together.
+SHARD_WORDS, BLOCK_WORDS, PAIRS = 1 << 20, 1 << 20, 1 << 20
+FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item:string,doc_start:int,item_start:int,length:int>>, hits array<int>"
+_MATCH = pa.struct([("item", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())])
+_ROW = pa.schema([("id", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", pa.list_(_MATCH)), ("hits", pa.list_(pa.int32()))])
+_SHARD = pa.schema([("ids", pa.list_(pa.string())), ("a", pa.binary()), ("b", pa.binary()), ("sizes", pa.binary()), ("vocabulary", pa.binary()), ("words", pa.binary()), ("suffixes", pa.binary())])
 
 
 def _order(name: str | None) -> tuple[bool, str]:
@@ -101,120 +104,268 @@ class SuffixArray:
         return found[0], found[1]
 
 
-class Benchmark:
-    """The windows of a set of items, by length, with where each stands."""
-
-    def __init__(self, items: list[tuple[str, str | None]], width: int = WIDTH):
-        self.vocabulary: dict[bytes, int] = {}
-        self.names = [name for name, _ in items]
-        self.depth = 1
-        windows: dict[int, dict[tuple, list[tuple[int, int]]]] = {}
-        for item, (_, text) in enumerate(items):
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words(text)]
-            self.depth = max(self.depth, len(codes))
-            n = min(width, len(codes))
-            for at in range(len(codes) - n + 1 if n else 0):
-                windows.setdefault(n, {}).setdefault(tuple(codes[at : at + n]), []).append((item, at))
-        self.windows = []
-        for n, group in windows.items():
-            places = [p for ps in group.values() for p in ps]
-            begin = np.cumsum([0, *map(len, group.values())])
-            self.windows.append((n, np.array(list(group), dtype=np.int64), begin, np.array(places, dtype=np.int64).reshape(-1, 2)))
-
-    def search(self, texts: list[str | None]) -> list[tuple]:
-        """(n_words, n_hit, items, matches, hits) for each text; the texts are one shard."""
-        get = self.vocabulary.get
-        split = [words(t) for t in texts]
-        sizes = np.array([len(w) for w in split], dtype=np.int64)
-        starts = np.cumsum(sizes + 1) - sizes - 1
-        codes = np.zeros(int(sizes.sum()) + len(texts), np.int64)
-        for at, found in zip(starts.tolist(), split, strict=True):
-            codes[at : at + len(found)] = [get(w, 0) for w in found]
-        edge = np.zeros(len(codes) + 1, np.int64)
-        array = SuffixArray(codes, self.depth) if self.windows else None
-        parts = []
-        for n, patterns, begin, places in self.windows:
-            if not len(array.order):
-                break
-            low, high = array.find(patterns)
-            some = np.flatnonzero(high > low)
-            count = (high - low)[some]
-            window = np.repeat(some, count)
-            at = array.order[np.repeat(low[some] - np.cumsum(count) + count, count) + np.arange(count.sum())]
-            np.add.at(edge, at, 1)
-            np.add.at(edge, at + n, -1)
-            each = (begin[1:] - begin[:-1])[window]
-            place = places[np.repeat(begin[window] - np.cumsum(each) + each, each) + np.arange(each.sum())]
-            parts.append(np.column_stack([np.repeat(at, each), place, np.full(len(place), n)]))
-        hit = np.cumsum(edge[:-1]) > 0
-        matches: dict[int, list[tuple]] = {}
-        if parts and (rows := np.concatenate(parts)).size:
-            at, item, place, n = rows.T
-            sort = np.lexsort((at, at - place, item))
-            at, item, place, n = at[sort], item[sort], place[sort], n[sort]
-            new = np.concatenate([[True], (item[1:] != item[:-1]) | (at[1:] - place[1:] != at[:-1] - place[:-1]) | (at[1:] != at[:-1] + 1)])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at)) - 1
-            doc = np.searchsorted(starts, at[first], side="right") - 1
-            for d, i, a, b in zip(doc.tolist(), first.tolist(), at[first] - starts[doc], at[last] + n[last] - at[first], strict=True):
-                matches.setdefault(d, []).append((self.names[item[i]], int(a), int(place[i]), int(b)))
-        out = []
-        for d, (at, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
-            own = matches.get(d, [])
-            spots = np.flatnonzero(hit[at : at + size]).tolist() if own else []
-            out.append((size, len(spots), sorted({m[0] for m in own}, key=_order), sorted(own, key=lambda m: (_order(m[0]), m[1:])), spots))
-        return out
-
-
-def _chunks(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in chunks of bounded size; an item that alone exceeds the bound is a chunk."""
+class Shard:
+    """Texts of a shard: ``words`` are numbers from 1 of the sorted ``vocabulary``, a 0 after each text; ``suffixes`` are places of words, sorted."""
+
+    def __init__(self, sizes: np.ndarray, vocabulary: np.ndarray, words: np.ndarray, suffixes: np.ndarray):
+        self.sizes, self.vocabulary = sizes, vocabulary
+        self.starts = np.cumsum(sizes + 1) - sizes - 1
+        self.array = SuffixArray.__new__(SuffixArray)
+        self.array.codes = np.concatenate([words, np.zeros(DEPTH + 1, np.int64)])
+        self.array.order = suffixes
+
+    @classmethod
+    def of(cls, codes: np.ndarray, ends: np.ndarray) -> Shard:
+        sizes = np.diff(np.concatenate([[0], ends]))
+        vocabulary, number = np.unique(codes, return_inverse=True)
+        words = np.zeros(len(codes) + len(ends), np.int64)
+        words[np.arange(len(codes)) + np.repeat(np.arange(len(ends)), sizes)] = number + 1
+        return cls(sizes, vocabulary, words, SuffixArray(words, DEPTH).order)
+
+    def numbers(self, codes: np.ndarray) -> np.ndarray:
+        """The shard's numbers of words given by code; 0 for those it hasn't."""
+        if not len(self.vocabulary):
+            return np.zeros(len(codes), np.int64)
+        at = np.minimum(np.searchsorted(self.vocabulary, codes), len(self.vocabulary) - 1)
+        return np.where(self.vocabulary[at] == codes, at + 1, 0)
+
+
+class Block:
+    """Items of a benchmark: their words' codes one after another, where each ends, and their names."""
+
+    def __init__(self, codes: np.ndarray, ends: np.ndarray, names: list[str | None]):
+        self.codes, self.ends, self.names = codes, ends, names
+        self.begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+
+    def suffixes(self, width: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(words, starts, items) of the windows: of ``width`` words, then of each lesser number that is a whole item."""
+        sizes = self.ends - self.begins
+        count = np.maximum(sizes - width + 1, 0)
+        yield width, spread(self.begins, count), np.repeat(np.arange(len(sizes)), count)
+        for n in np.unique(sizes[(sizes > 0) & (sizes < width)]).tolist():
+            items = np.flatnonzero(sizes == n)
+            yield n, self.begins[items], items
+
+    def to_bytes(self) -> bytes:
+        sink = pa.BufferOutputStream()
+        row = pa.record_batch({"codes": [self.codes.astype("<u8").tobytes()], "ends": [self.ends.astype("<i8").tobytes()], "names": pa.array([self.names], pa.list_(pa.string()))})
+        with pa.ipc.new_stream(sink, row.schema) as out:
+            out.write_batch(row)
+        return sink.getvalue().to_pybytes()
+
+    @classmethod
+    def from_bytes(cls, data: bytes) -> Block:
+        row = pa.ipc.open_stream(data).read_all().to_pylist()[0]
+        return cls(np.frombuffer(row["codes"], "<u8"), np.frombuffer(row["ends"], "<i8"), row["names"])
+
+
+def matches(shard: Shard, block: Block, width: int = WIDTH) -> np.ndarray:
+    """Rows (text, item, first word in the text, first word in the item, words) of the longest verbatim matches that hold a window."""
+    test, words = shard.numbers(block.codes), shard.array.codes
+    gaps = np.concatenate([[0], np.cumsum(test == 0)])
+    out = [np.zeros((0, 5), np.int64)]
+    for n, starts, items in block.suffixes(width):
+        there = gaps[starts + n] == gaps[starts]
+        starts, items = starts[there], items[there]
+        if not len(starts) or not len(shard.array.order):
+            continue
+        low, high = shard.array.find(test[starts[:, None] + np.arange(n)])
+        total = np.cumsum(high - low)
+        begin = 0
+        while begin < len(starts):
+            done = int(total[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(total, done + PAIRS, "right")))
+            count = (high - low)[begin:end]
+            for first in range(0, max(1, int(count.max(initial=0))), PAIRS):
+                # A suffix of more occurrences than that is taken in parts.
+                some = np.clip(count - first, 0, PAIRS)
+                i = np.repeat(starts[begin:end], some)
+                item = np.repeat(items[begin:end], some)
+                p = shard.array.order[spread(low[begin:end] + first, some)]
+                if n == width:
+                    inner = (i > block.begins[item]) & (p > 0)
+                    before = np.where(inner, test[i - 1], 0)
+                    new = (before == 0) | (before != words[p - 1])
+                    i, item, p = i[new], item[new], p[new]
+                length = np.full(len(i), n)
+                going = np.arange(len(i)) if n == width else np.zeros(0, np.int64)
+                while len(going):
+                    step = np.arange(DEPTH)
+                    at = i[going, None] + length[going, None] + step
+                    inside = at < block.ends[item[going]][:, None]
+                    own = np.where(inside, test[np.minimum(at, len(test) - 1)], 0)
+                    there = words[np.minimum(p[going, None] + length[going, None] + step, len(words) - 1)]
+                    same = (own > 0) & (own == there)
+                    run = np.where(same.all(axis=1), DEPTH, same.argmin(axis=1))
+                    length[going] += run
+                    going = going[run == DEPTH]
+                text = np.searchsorted(shard.starts, p, side="right") - 1
+                out.append(np.column_stack([text, item, p - shard.starts[text], i - block.begins[item], length]))
+            begin = end
+    return np.concatenate(out)
+
+
+def found_in(shard: Shard, blocks: Iterator[Block], width: int = WIDTH) -> list[tuple]:
+    """(n_words, n_hit, items, matches, hits) of each text of a shard."""
+    edge = np.zeros(int((shard.sizes + 1).sum()) + 1, np.int64)
+    of: dict[int, list[tuple]] = {}
+    for block in blocks:
+        rows = matches(shard, block, width)
+        at = shard.starts[rows[:, 0]] + rows[:, 2]
+        np.add.at(edge, at, 1)
+        np.add.at(edge, at + rows[:, 4], -1)
+        for text, item, start, place, n in rows.tolist():
+            of.setdefault(text, []).append((block.names[item], start, place, n))
+    hit = np.cumsum(edge) > 0
+    out = []
+    for text, (at, size) in enumerate(zip(shard.starts.tolist(), shard.sizes.tolist(), strict=True)):
+        own = of.get(text, [])
+        spots = np.flatnonzero(hit[at : at + size]).tolist() if own else []
+        out.append((size, len(spots), sorted({m[0] for m in own}, key=_order), sorted(own, key=lambda m: (_order(m[0]), m[1:])), spots))
+    return out
+
+
+def _keyed(docs: DataFrame, id_col: str | None, text_col: str) -> tuple:
+    """Two hashes that tell rows apart by id and text."""
+    own = [F.col(id_col).cast("string")] if id_col else []
+    text = F.col(text_col).cast("string")
+    return F.xxhash64(*own, text), F.xxhash64(F.lit(1), *own, text)
+
+
+def index(docs: DataFrame, id_col: str | None = "doc_id", text_col: str = "text") -> DataFrame:
+    """The written shards of ``docs``: a row each, with the ids and keys of their texts."""
+    prepare(docs.sparkSession)
+    a, b = _keyed(docs, id_col, text_col)
+    rows = docs.select((F.col(id_col) if id_col else F.lit(None)).cast("string").alias("id"), a.alias("a"), b.alias("b"), F.col(text_col).cast("string").alias("text"))
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+
+        def close() -> pa.RecordBatch:
+            ids, a, b, codes, sizes = zip(*held, strict=True)
+            made = Shard.of(np.concatenate(codes), np.cumsum(np.concatenate(sizes)))
+            arrays = [np.concatenate(a), np.concatenate(b), made.sizes, made.vocabulary, made.array.codes[: -DEPTH - 1].astype("<i4"), made.array.order.astype("<i4")]
+            return pa.RecordBatch.from_arrays([pa.array([sum(ids, [])], pa.list_(pa.string())), *[pa.array([x.tobytes()], pa.binary()) for x in arrays]], schema=_SHARD)
+
+        size = 0
+        for batch in batches:
+            codes, ends = coded(batch.column(3), LETTERS)
+            names, a, b = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            begin = done = 0
+            while begin < len(names):
+                stop = max(begin + 1, int(np.searchsorted(ends, done + SHARD_WORDS - size, "right")))
+                end = int(ends[stop - 1])
+                held.append((names[begin:stop], a[begin:stop], b[begin:stop], codes[done:end], np.diff(np.concatenate([[done], ends[begin:stop]]))))
+                size += end - done
+                begin, done = stop, end
+                if size >= SHARD_WORDS or begin < len(names):
+                    yield close()
+                    held, size = [], 0
+        if held:
+            yield close()
+
+    return cut(rows.mapInArrow(released(build), "ids array<string>, a binary, b binary, sizes binary, vocabulary binary, words binary, suffixes binary"), "suffixes")
+
+
+def write_blocks(benchmark: DataFrame, folder: str, id_col: str = "item_id", text_col: str = "text") -> list[str]:
+    """Write a benchmark's items as files of bounded size; their paths, one for each ``BLOCK_WORDS`` words or so."""
+    prepare(benchmark.sparkSession)
     rows = benchmark.select(F.col(id_col).cast("string").alias("item"), F.col(text_col).cast("string").alias("text"))
-    chunk, size = [], 0
-    for item, text in rows.toLocalIterator():
-        chunk.append((item, text or ""))
-        size += len(text or "")
-        if size >= CHUNK_CHARS:
-            yield chunk
-            chunk, size = [], 0
-    if chunk or not size:
-        yield chunk
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
+        part, number = TaskContext.get().partitionId(), 0
+        names: list[str | None] = []
+        codes: list[np.ndarray] = []
+        sizes: list[int] = []
 
-def _searcher(items: list[tuple[str, str]], width: int):
-    made: list[Benchmark] = []
+        def close() -> pa.RecordBatch:
+            path = f"{folder}/block-{part:05d}-{number:05d}"
+            put_file(path, [Block(np.concatenate(codes), np.cumsum(sizes), list(names)).to_bytes()])
+            for held in (names, codes, sizes):
+                held.clear()
+            return pa.RecordBatch.from_pydict({"path": [path]})
 
-    @F.pandas_udf(RESULT)
-    def search(texts: pd.Series) -> pd.DataFrame:
-        if not made:
-            made.append(Benchmark(items, width))
-        return pd.DataFrame(made[0].search(texts.tolist()), columns=["n_words", "n_hit", "items", "matches", "hits"])
+        for batch in batches:
+            own, ends = coded(batch.column(1), LETTERS)
+            begin = 0
+            for name, end in zip(batch.column(0).to_pylist(), ends.tolist(), strict=True):
+                names.append(name)
+                codes.append(own[begin:end])
+                sizes.append(end - begin)
+                begin = end
+                if sum(sizes) >= BLOCK_WORDS:
+                    yield close()
+                    number += 1
+        if names:
+            yield close()
 
-    return search
+    parts = 1 + int(chars) // (6 * BLOCK_WORDS)
+    made = cut(rows.repartition(parts).mapInArrow(released(write), "path string"), "blocks")
+    paths = sorted(r["path"] for r in made.collect())
+    discard(made)
+    return paths
 
 
-def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "found", width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """``docs`` with one more column, a struct of n_words, n_hit, items, matches and hits.
+def search(shards: DataFrame, benchmark: DataFrame, width: int = WIDTH, item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """id, a, b (the keys), n_words, n_hit, items, matches and hits of every text of the shards; written once.
 
     A match is a longest verbatim run of words shared with an item: its item,
-    first word in the document and in the item, and length; hits are the
-    positions of all document words inside any occurrence of a window.
+    first word in the document and in the item, and length; hits are the positions
+    of all document words inside any occurrence of a window.
     """
-    prepare(docs.sparkSession)
-    found = None
-    text = F.col(text_col).cast("string")
-    for items in _chunks(benchmark, item_col, item_text_col):
-        here = _searcher(items, width)(text)
-        if found is None:
-            found = here
-        else:
-            hits = F.array_union(found["hits"], here["hits"])
-            found = F.struct(here["n_words"].alias("n_words"), F.size(hits).cast("long").alias("n_hit"), F.array_union(found["items"], here["items"]).alias("items"), F.concat(found["matches"], here["matches"]).alias("matches"), hits.alias("hits"))
-        docs = docs.withColumn(name, found)
-        found = F.col(name)
-    return docs
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, **kwargs) -> DataFrame:
+    if width > DEPTH:
+        raise ValueError(f"windows have at most {DEPTH} words")
+    spark = shards.sparkSession
+    prepare(spark)
+    folder = work_dir(spark, "benchmark")
+    paths = write_blocks(benchmark, folder, item_col, item_text_col)
+
+    def blocks() -> Iterator[Block]:
+        for path in paths:
+            files, place = filesystem(path)
+            with files.open_input_stream(place) as handle:
+                yield Block.from_bytes(handle.read())
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = list(blocks()) if len(paths) == 1 else None
+        for batch in batches:
+            for row in batch.to_pylist():
+                kept = {k: np.frombuffer(row[k], t) for k, t in (("a", "<i8"), ("b", "<i8"), ("sizes", "<i8"), ("vocabulary", "<u8"), ("words", "<i4"), ("suffixes", "<i4"))}
+                shard = Shard(kept["sizes"], kept["vocabulary"], kept["words"].astype(np.int64), kept["suffixes"].astype(np.int64))
+                found = found_in(shard, only if only is not None else blocks(), width)
+                for at in range(0, len(found), 2000):
+                    n, hit, items, runs, hits = zip(*found[at : at + 2000], strict=True)
+                    runs = [[dict(zip(("item", "doc_start", "item_start", "length"), m, strict=True)) for m in own] for own in runs]
+                    columns = [row["ids"][at : at + 2000], kept["a"][at : at + 2000], kept["b"][at : at + 2000], n, hit, items, runs, hits]
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ROW, strict=True)], schema=_ROW)
+
+    out = cut(shards.mapInArrow(released(look), f"id string, a long, b long, {FOUND}"), "found")
+    remove(spark, folder)
+    return out
+
+
+def annotate(docs: DataFrame, benchmark: DataFrame, name: str = "found", width: int = WIDTH, id_col: str | None = None, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """``docs`` with one more column, a struct of n_words, n_hit, items, matches and hits, as of ``search``."""
+    shards = index(docs, id_col, text_col)
+    found = search(shards, benchmark, width, item_col, item_text_col)
+    discard(shards)
+    keys = [f"{name}_{k}" for k in "ab"]
+    fields = [c for c in found.columns if c not in ("id", "a", "b")]
+    found = found.groupBy("a", "b").agg(F.first(F.struct(*fields)).alias(name))
+    found = found.select(*[F.col(k).alias(x) for k, x in zip("ab", keys, strict=True)], name)
+    a, b = _keyed(docs, id_col, text_col)
+    return docs.withColumn(keys[0], a).withColumn(keys[1], b).join(found, keys, "left").select(*docs.columns, name)
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` in which no window occurs."""
-    name = "_".join(["found", *docs.columns])
-    return annotate(docs, benchmark, name, **kwargs).where(F.col(name)["n_hit"] == 0).drop(name)
+    shards = index(docs, None, text_col)
+    found = search(shards, benchmark, width, item_col, item_text_col)
+    keys = ["_".join([k, *docs.columns]) for k in "ab"]
+    hit = cut(found.where("n_hit > 0").select(*[F.col(k).alias(x) for k, x in zip("ab", keys, strict=True)]).distinct(), "affected")
+    discard(shards, found)
+    a, b = _keyed(docs, None, text_col)
+    return docs.withColumn(keys[0], a).withColumn(keys[1], b).join(hit, keys, "left_anti").select(*docs.columns)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quern.llm import chains, compaction, decontam, html_extract, langid, near_vectors, packing, simhash, token_store, warc
-from quern.llm.common import table
+from quern.llm.common import discard, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -50,15 +50,16 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontam.annotate(docs, table(spark, sf_dir, "benchmark"))
+    shards = decontam.index(table(spark, sf_dir, "documents"))
+    found = decontam.search(shards, table(spark, sf_dir, "benchmark"))
+    discard(shards)
     return found.select(
-        "doc_id",
-        "found.n_words",
-        "found.n_hit",
-        F.size("found.items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("found.items")), 256).alias("items_sha256"),
-        (F.col("found.n_hit") > 0).alias("contaminated"),
+        F.col("id").cast("long").alias("doc_id"),
+        "n_words",
+        "n_hit",
+        F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
     )
 
 

@@ -1,21 +1,28 @@
 import random
+import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from quern.llm import compaction, decontam, langid
+from quern.llm.words import LETTERS, coded
 
 EN = "the house of the people is on the hill and they have been there with that".split()
 DE = "das haus der leute ist auf dem hügel und sie sind dort mit dem gewesen nicht".split()
 
 
+WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
 def brute(texts, items, width=10):
     out = []
     for text in texts:
-        w = decontam.words(text)
+        w = WORD.findall((text or "").translate(LOWER))
         hit, found = set(), set()
         for name, item in items:
-            v = decontam.words(item)
+            v = WORD.findall((item or "").translate(LOWER))
             n = min(width, len(v))
             for j in range(len(v) - n + 1 if n else 0):
                 for i in range(len(w) - n + 1):
@@ -26,10 +33,11 @@ def brute(texts, items, width=10):
     return out
 
 
-@pytest.mark.parametrize("chunk", [10, 1_000_000])
-def test_decontamination(spark, monkeypatch, chunk):
+@pytest.mark.parametrize(("size", "pairs"), [(10, 3), (1 << 20, 1 << 20)])
+def test_decontamination(spark, monkeypatch, size, pairs):
     rng = random.Random(1)
-    monkeypatch.setattr(decontam, "CHUNK_CHARS", chunk)
+    for name, value in (("SHARD_WORDS", size), ("BLOCK_WORDS", size), ("PAIRS", pairs)):
+        monkeypatch.setattr(decontam, name, value)
     say = lambda n, k: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
     items = [("1", say(15, 3)), ("2", "Short ITEM"), ("10", say(40, 2)), ("3", None), ("4", "... !"), ("5", "É x-y")]
     items.append(("6", items[0][1]))
@@ -45,10 +53,31 @@ def test_decontamination(spark, monkeypatch, chunk):
     assert decontam.annotate(docs.where("false"), bench).count() == 0
 
 
-def test_matches_are_longest():
-    made = decontam.Benchmark([("x", " ".join("abcdefghijklmno"))])
-    n, hit, items, matches, _ = made.search([" ".join("zzabcdefghijklzz")])[0]
-    assert (hit, items, matches) == (12, ["x"], [("x", 2, 0, 12)]) and n == 16
+def test_matches_are_longest(monkeypatch):
+    def made(texts):
+        return coded(pa.array(texts), LETTERS)
+
+    block = decontam.Block(*made([" ".join("abcdefghijklmno")]), ["x"])
+    shard = decontam.Shard.of(*made([" ".join("zzabcdefghijklzz"), "a b", ""]))
+    assert decontam.found_in(shard, [block])[:2] == [(16, 12, ["x"], [("x", 2, 0, 12)], list(range(2, 14))), (2, 0, [], [], [])]
+    rng = random.Random(3)
+    texts, items = ([" ".join(rng.choice("ab") for _ in range(rng.randint(12, 90))) for _ in range(n)] for n in (6, 5))
+    block, shard = decontam.Block.from_bytes(decontam.Block(*made(items), list("abcde")).to_bytes()), decontam.Shard.of(*made(texts))
+    for pairs in (1, 7, 1 << 20):
+        monkeypatch.setattr(decontam, "PAIRS", pairs)
+        got, want = {tuple(r) for r in decontam.matches(shard, block).tolist()}, set()
+        for t, text in enumerate(x.split() for x in texts):
+            for k, item in enumerate(x.split() for x in items):
+                for i in range(len(text)):
+                    for j in range(len(item)):
+                        if i and j and text[i - 1] == item[j - 1]:
+                            continue
+                        n = 0
+                        while i + n < len(text) and j + n < len(item) and text[i + n] == item[j + n]:
+                            n += 1
+                        if n >= 10:
+                            want.add((t, k, i, j, n))
+        assert got == want and len(want) > 20
 
 
 def test_suffixes_are_sorted():
