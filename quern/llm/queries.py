@@ -28,10 +28,10 @@ def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = warc.new_folder(spark)
-    captures = warc.write_archives(table(spark, sf_dir, "pages"), folder)
-    directory = warc.write_index(captures, folder)
-    back = warc.read_records(warc.read_index(directory), with_payload=False)
+    """Every page is written, looked up by its URL in the index, and read back."""
+    folder, pages = warc.new_folder(spark), table(spark, sf_dir, "pages")
+    directory = warc.write_index(warc.write_archives(pages, folder), folder)
+    back = warc.read_records(warc.find(directory, pages), with_payload=False)
     return back.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

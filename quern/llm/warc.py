@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, filesystem, partitions, prepare, put_file, work_dir
+from quern.llm.common import cut, filesystem, partitions, prepare, put_file, released, work_dir
 
 SHORTEST = 100
 #: Bytes of an archive file, lines of an index block, bytes between two ranges that are read as one.
@@ -136,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, shortest: int = SHORTEST) -> D
         if captures:
             yield close()
 
-    return cut(typed.mapInPandas(write, _ENTRY), "captures")
+    return cut(typed.mapInPandas(released(write), _ENTRY), "captures")
 
 
 def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> DataFrame:
@@ -174,7 +174,7 @@ def write_index(captures: DataFrame, folder: str, lines: int = BLOCK_LINES) -> D
             yield pd.DataFrame(rows, columns=["part", "first", "path", "at", "size"])
 
     sorted_captures = captures.repartitionByRange(n, *order).sortWithinPartitions(*order)
-    return cut(sorted_captures.mapInPandas(write, "part int, first string, path string, at long, size long"), "directory")
+    return cut(sorted_captures.mapInPandas(released(write), "part int, first string, path string, at long, size long"), "directory")
 
 
 def _ranges(uri: str, wanted: list[tuple[int, int]]) -> Iterator[bytes]:
@@ -201,16 +201,49 @@ def _lines(block: bytes) -> Iterator[tuple]:
         yield (key, *json.loads(rest))
 
 
-def read_index(directory: DataFrame) -> DataFrame:
-    """All captures of the index, read back from its blocks."""
+def find(directory: DataFrame, urls: DataFrame, url_col: str = "url") -> DataFrame:
+    """The captures of the urls of ``urls``, each once: key, page_id, file, at, size.
 
-    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for path, group in frame.groupby("path"):
-                rows = [row for block in _ranges(path, sorted(zip(group["at"].tolist(), group["size"].tolist(), strict=True))) for row in _lines(block)]
-                yield pd.DataFrame(rows, columns=["key", "page_id", "file", "at", "size"]).astype({"page_id": "Int64"})
+    The first keys of the index's parts, one for each file of it, send every
+    distinct key to the parts that may hold it. There a task bisects the part's
+    directory and reads by ranges the blocks that may hold a key asked for, each
+    once, since keys come in order.
+    """
+    spark = directory.sparkSession
+    prepare(spark)
+    parts = sorted((r["first"], r["part"]) for r in directory.groupBy("part").agg(F.min("first").alias("first")).collect())
+    firsts, numbers = [p[0] for p in parts], [p[1] for p in parts]
 
-    return directory.repartition(partitions(directory.sparkSession)).mapInPandas(read, _ENTRY)
+    @F.pandas_udf("struct<key:string,parts:array<int>>")
+    def placed(urls: pd.Series) -> pd.DataFrame:
+        keys = [url_key(u) for u in urls]
+        return pd.DataFrame({"key": keys, "parts": [numbers[max(0, bisect_left(firsts, k) - 1) : bisect_right(firsts, k)] for k in keys]})
+
+    asked = urls.select(placed(F.col(url_col).cast("string")).alias("at")).select("at.key", "at.parts").distinct().select(F.explode("parts").alias("part"), F.col("key").alias("first"))
+    nothing = {"path": "string", "at": "long", "size": "long"}
+    rows = directory.select("part", "first", *nothing, F.lit(0).alias("asked")).union(asked.select("part", "first", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()], F.lit(1)))
+    rows = rows.repartition(partitions(spark), "part").sortWithinPartitions("part", "asked", "first", "at")
+
+    def look(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, first, blocks, at, lines = None, [], [], -1, []
+        for frame in frames:
+            out = []
+            for number, key, path, place, size, question in zip(*(frame[c] for c in ("part", "first", "path", "at", "size", "asked")), strict=True):
+                if number != part:
+                    part, first, blocks, at, lines = number, [], [], -1, []
+                if not question:
+                    first.append(key)
+                    blocks.append((path, int(place), int(size)))
+                    continue
+                for k in range(max(0, bisect_left(first, key) - 1), bisect_right(first, key)):
+                    if k != at:
+                        path, place, size = blocks[k]
+                        at, lines = k, list(_lines(next(_ranges(path, [(place, size)]))))
+                    keys = [x[0] for x in lines]
+                    out += lines[bisect_left(keys, key) : bisect_right(keys, key)]
+            yield pd.DataFrame(out, columns=["key", "page_id", "file", "at", "size"]).astype({"page_id": "Int64"})
+
+    return rows.mapInPandas(released(look), _ENTRY)
 
 
 def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
@@ -228,23 +261,13 @@ def read_records(captures: DataFrame, with_payload: bool = True) -> DataFrame:
                     out["payload"] = [c.payload for c in found]
                 yield out
 
-    return dealt.mapInPandas(read, "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
+    return dealt.mapInPandas(released(read), "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string" + ", payload binary" * with_payload)
 
 
 def lookup(directory: DataFrame, url: str) -> list[Capture]:
-    """The captures of one URL: bisection over parts, then over a part's blocks, then range reads."""
-    key = url_key(url)
-    parts = sorted((r["first"], r["part"]) for r in directory.groupBy("part").agg(F.min("first").alias("first")).collect())
-    firsts = [p[0] for p in parts]
-    near = [p for _, p in parts[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]]
-    blocks = sorted(tuple(r) for r in directory.where(F.col("part").isin(near)).select("first", "path", "at", "size").collect()) if near else []
-    firsts = [b[0] for b in blocks]
-    found = []
-    for _, path, at, size in blocks[max(0, bisect_left(firsts, key) - 1) : bisect_right(firsts, key)]:
-        for row in _lines(next(_ranges(path, [(at, size)]))):
-            if row[0] == key:
-                found.append(parse(next(_ranges(row[2], [(row[3], row[4])]))))
-    return found
+    """The captures of one URL, in order of their pages."""
+    rows = find(directory, directory.sparkSession.createDataFrame([(url,)], "url string")).collect()
+    return [parse(next(_ranges(r["file"], [(r["at"], r["size"])]))) for r in sorted(rows, key=lambda r: (r["page_id"] is not None, r["page_id"], r["file"], r["at"]))]
 
 
 def new_folder(spark) -> str:

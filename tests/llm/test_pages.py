@@ -1,4 +1,8 @@
 import hashlib
+import random
+import time
+
+from pyspark.sql import functions as F
 
 from quern.llm import html_extract, warc
 
@@ -18,7 +22,7 @@ def test_archives(spark):
     folder = warc.new_folder(spark)
     captures = warc.write_archives(pages, folder)
     directory = warc.write_index(captures, folder, lines=2)
-    got = warc.read_records(warc.read_index(directory)).collect()
+    got = warc.read_records(warc.find(directory, pages)).collect()
     assert len(got) == len(rows)
     for page, _, html, _ in rows:
         r = next(r for r in got if r["page_id"] == page)
@@ -36,7 +40,7 @@ def test_no_pages(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     folder = warc.new_folder(spark)
     captures = warc.write_archives(pages, folder)
-    assert warc.read_records(warc.read_index(warc.write_index(captures, folder))).count() == 0
+    assert warc.read_records(warc.find(warc.write_index(captures, folder), pages)).count() == 0
     assert html_extract.extract(pages).count() == 0
 
 
@@ -47,6 +51,16 @@ def page(i, body):
 <!-- <p>hidden</p> --><footer>&copy; {i}</footer></body></html>"""
 
 
+def test_many_captures_of_a_url(spark):
+    rows = [(i, f"http://h{i % 7}.org/{i % 3}", f"page {i}") for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    folder = warc.new_folder(spark)
+    directory = warc.write_index(warc.write_archives(pages, folder), folder, lines=6)
+    assert sorted(r["page_id"] for r in warc.find(directory, pages).collect()) == list(range(400))
+    some = spark.createDataFrame([("http://h1.org/2",), ("http://h1.org:80/2",), ("http://h9.org/",), (None,)], "url string")
+    assert sorted(r["page_id"] for r in warc.find(directory, some).collect()) == [i for i in range(400) if i % 7 == 1 and i % 3 == 2]
+
+
 def test_main_text(spark):
     bodies = [f'<article><header><h1>Head {i}</h1><span>by x</span></header><p>First&nbsp;&amp; <b>bold{i}<p>Second<br>line {i}  x<div class="ad-slot">Buy</div><p class="notice">Notice</p><p>Subscribe now</p></article>' for i in range(8)]
     rows = [(i, "http://h.org/%d" % i, page(i, b), "m") for i, b in enumerate(bodies)] + [(90, "http://h.org/0", page(0, bodies[0]), "m"), (91, None, None, "m"), (92, "x", "", "m"), (93, "http://one.org", "<div>plain</div>tail &lt;", "m")]
@@ -57,6 +71,62 @@ def test_main_text(spark):
     assert got[90] == got[0] and got[91] == "" and got[92] == "" and got[93] == "plain\n\ntail <"
 
 
+def text_of(source):
+    return html_extract.main_text(html_extract.read(source), [], set()).split("\n\n")
+
+
+def test_names_in_an_article_are_no_evidence():
+    source = '<article><h2 id="share-prices">Share prices</h2><h2 id="comments-on-war">War</h2><p class="search">Search</p><div class="feature-alert">Alert</div><table><caption>All</caption><tr><td>one</td><td>two</td></table><math><mi>x</mi></math><xmp><b>raw</b></xmp><p hidden>no</p><div class="comment-list">no</div><ul class="share"><li>no</ul></article><p>no'
+    assert text_of(source) == ["Share prices", "War", "Search", "Alert", "All", "one", "two", "x", "<b>raw</b>"]
+    assert text_of('<div id="comments">no</div><div>a < b <!-- c --><script>d</script>e<nav>f</nav></div><p>g<p>h') == ["a < b e", "g", "h"]
+
+
+def test_deep_and_broken_pages():
+    began = time.time()
+    deep = "<div class='x'>" * 100_000 + "text" + "</p></i></div>" * 100_000
+    assert text_of(deep) == ["text"] and text_of("<b>" * 50_000 + "<li>a" * 50_000)[:2] == ["a", "a"]
+    for broken in ('<a "' * 250_000, '<a ="' * 200_000, "<a '> " * 150_000, '<p title="x>' * 80_000, "<" * 1_000_000, "<!--" * 250_000, "<a b=c" * 150_000, "</" * 400_000, "<script>" * 100_000, "<i " + "a " * 500_000 + ">z"):
+        html_extract.read(broken)
+    assert time.time() - began < 60 and text_of("<p>" + "word " * 400_000)[0].count(" ") == 399_999
+
+
+def test_recurring_parts_of_articles_stay(spark):
+    rows = [(i, f"http://h.org/{i}", f"<article><h1>T{i}</h1><h2>Summary</h2><p>Own {i}.</p><table><tr><th>Price</th><td>{i}</td></tr></table><p>Read our newsletter.</p></article>") for i in range(12)]
+    rows += [(50 + i, f"http://two.org/{i}", f"<article><p>Own {i}.</p><p>The same.</p></article>") for i in range(2)]
+    got = {r["page_id"]: r["main_text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "T3\n\nSummary\n\nOwn 3.\n\nPrice\n\n3" and got[50] == "Own 0.\n\nThe same."
+
+
+def test_classes_equal_brute_force(spark):
+    rng, rows = random.Random(6), []
+    for host in range(6):
+        parts = [f"<div class='c{j}'><p>Part {j}</p></div>" for j in range(6)]
+        for i in range(rng.choice([2, 5, 14])):
+            body = "".join(p for p in parts if rng.random() < 0.75) + f"<p>Own {rng.randint(0, 5)}</p>"
+            rows.append((len(rows), f"http://h{host}.org/{rng.choice(['', 'a/', 'b/'])}{i}", body))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    host, section = html_extract.places_of(F.col("url"))
+    got = {r["host"]: {frozenset(c) for c in r["classes"] or []} for r in html_extract.templates(pages).collect()}
+    held, texts = {}, set()
+    for r in pages.select(host.alias("host"), section.alias("section"), "html").collect():
+        page = html_extract.read(r["html"])
+        texts |= {b.token for b in page.blocks}
+        for place in {r["host"], r["section"]}:
+            held.setdefault(place, set()).add(tuple(page.tokens))
+    for place, found in held.items():
+        vectors = {}
+        for number, tokens in enumerate(found):
+            for token in set(tokens):
+                vectors.setdefault(token, []).append((number, tokens.count(token)))
+        most = max(map(len, vectors.values()))
+        classes = {}
+        for token, vector in vectors.items():
+            if len(vector) >= html_extract.SUPPORT and len(vector) >= html_extract.SHARE * most:
+                classes.setdefault(tuple(vector), set()).add(token)
+        want = {frozenset(c) for c in classes.values() if c & texts}
+        assert got.get(place, set()) == want
+
+
 def test_copies_are_not_template(spark):
     body = "<article><h1>Same</h1><p>One story that was copied.</p></article>"
     pages = spark.createDataFrame([(i, "http://h.org/%d" % i, f"<html><title>Same</title>{body}</html>") for i in range(20)], "page_id long, url string, html string")
@@ -85,7 +155,7 @@ def test_pages_of_one_title_and_small_sections(spark):
 
 def test_nesting_of_classes():
     p = html_extract.read("<div><ul><li>a</li><li>b</li></ul></div>")
-    tokens = [t for t, _ in p.tags]
+    tokens = p.tokens
     outer, inner = [tokens[0], tokens[-1]], [tokens[2], tokens[4]]
     assert html_extract.template_tokens(p, [outer, inner]) == {*outer, *inner}
     assert html_extract.template_tokens(p, [outer[::-1]]) == set()
