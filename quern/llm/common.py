@@ -7,12 +7,13 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows and bytes of an Arrow batch.
-BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
+#: Rows and bytes of an Arrow batch, and bytes that a writer of Parquet gathers before it writes them.
+BATCH_ROWS, BATCH_BYTES, GROUP_BYTES = 500, 16 << 20, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,6 +52,22 @@ def released(run):
     return whole
 
 
+def larger(batches: Iterator, size: int = 12 << 20) -> Iterator:
+    """Arrow batches joined to ones of about ``size`` bytes."""
+    import pyarrow as pa
+
+    held, n = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.nbytes
+        if n >= size:
+            yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held, n = [], 0
+    if held:
+        yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share.
 
@@ -72,12 +89,24 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again, which ends its lineage; ``discard`` removes it."""
     spark = df.sparkSession
     path = work_dir(spark, name)
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", GROUP_BYTES).parquet(path)
     found = spark.read.schema(df.schema).parquet(path)
     found.quern_path = path
     return found
 
 
+@contextmanager
+def open_writers(spark: SparkSession, n: int) -> Iterator[None]:
+    """Let a task write to so many folders of a partitioned table at once, rather than sort its rows by them first."""
+    key = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)

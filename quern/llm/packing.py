@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, prepare, released
+from quern.llm.common import cut, larger, prepare, released
 from quern.llm.tokens import encoder
 from quern.llm.words import spread
 
@@ -251,7 +251,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int = 2,
         block = TaskContext.get().partitionId()
         seen = np.zeros(capacity + 1, np.int64)
         with encoder(tokenizer_path) as coder:
-            yield from (cut_up(coder, batch, block, seen) for batch in batches if batch.num_rows)
+            yield from (cut_up(coder, batch, block, seen) for batch in larger(batches))
 
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     kinds = "doc_id long, piece int, start long, length long, digest long, block int, local_rank long"

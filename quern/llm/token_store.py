@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import cut, filesystem, partitions, prepare, put_file, released, work_dir
+from quern.llm.common import cut, filesystem, larger, partitions, prepare, put_file, released, work_dir
 from quern.llm.tokens import encoder
 
 MAGIC = b"QTOKENS1"
@@ -187,7 +187,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int
 
         part = TaskContext.get().partitionId()
         with encoder(tokenizer_path) as coder:
-            yield from _write(coder, batches, part)
+            yield from _write(coder, larger(batches), part)
 
     def _write(coder, batches: Iterator[pa.RecordBatch], part: int) -> Iterator[pa.RecordBatch]:
         width, number, size = coder.dtype.itemsize, 0, 0
