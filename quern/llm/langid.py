@@ -37,6 +37,8 @@ from quern.llm.common import prepare, released
 
 #: Labelled documents that a fit reads at most, but for the luck of the hash; features it keeps, and how often one must be seen.
 SAMPLE, FEATURES, LEAST_SEEN = 12_000, 200_000, 3
+#: Languages that a model learns, the most frequent ones; their shares of the sample are all that is broadcast.
+LANGUAGES = 500
 #: Cost of a change of language, in nats, and the belief spread evenly over a word's candidates.
 SWITCH, DOUBT = 12.0, 0.05
 #: Bytes of word scores that a worker keeps before it starts anew, what a word takes besides, characters of the longest kept.
@@ -105,12 +107,13 @@ def fit(labelled: DataFrame, sample: int = SAMPLE, text_col: str = "text", lang_
     prepare(labelled.sparkSession)
     rows = labelled.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("text is not null and lang is not null")
     sizes = labelled.where(F.col(lang_col).isNotNull()).groupBy(F.col(lang_col).cast("string").alias("lang")).agg(F.count("*").alias("n"))
+    sizes = sizes.orderBy(F.desc("n"), "lang").limit(LANGUAGES)
     # The quota of a language is what is left when all smaller ones have theirs, shared evenly.
     order = Window.orderBy("n", "lang")
     shared = sizes.select("lang", "n", F.row_number().over(order).alias("place"), F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.count("*").over(Window.partitionBy()).alias("languages"))
     quota = F.max(F.least(F.col("n"), F.floor((F.lit(sample) - F.least(F.lit(sample), F.col("before"))) / (F.col("languages") - F.col("place") + 1)))).over(order.rowsBetween(Window.unboundedPreceding, 0))
     shares = shared.select("lang", F.least(F.lit(1.0), quota / F.col("n")).alias("share"))
-    rows = rows.join(shares, "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
+    rows = rows.join(F.broadcast(shares), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.col("share") * 1_000_000)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens: dict[str, Counter] = {}
