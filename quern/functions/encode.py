@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from quern.functions.rules import KING, PAWN, Board, Move
 
-# Fixed values of the layout: planes per square, widths of older and newer forms, the key's tag.
+# Fixed values of the layout: planes per square, widths of older and newer forms, and the tag of position keys, which must be this one for keys to match.
 PLANES, OLD_BYTES, BYTES, FULL_BYTES, KEYED_BYTES = 73, 144, 146, 160, 136
 KEY_TAG = b"s-chess-group-v1"
 # Steps of the 7-plane directions, of the knight planes, and the promoted pieces of the last nine.
@@ -35,6 +35,11 @@ def seen_by(s: int, turn: int) -> int:
     return s if turn == 1 else s ^ 56
 
 
+def seen_from(square: Column, turn: Column) -> Column:
+    """A square as the side to move (w or b) sees it."""
+    return F.when(turn == "b", square.bitwiseXOR(F.lit(56))).otherwise(square)
+
+
 def policy_index(turn: int, move: Move) -> int:
     """The policy number of a move; promotion to a queen counts as the plain step."""
     a, b = seen_by(move.start, turn), seen_by(move.end, turn)
@@ -156,7 +161,7 @@ def structural_mask(spark: SparkSession) -> DataFrame:
 
 def policy_index_sql(start: Column, end: Column, promotion: Column, turn: Column) -> Column:
     """E7 as an expression: squares as numbers, promotion as a letter or null, turn as w or b; null where no plane fits."""
-    a, b = F.when(turn == "b", start.bitwiseXOR(F.lit(56))).otherwise(start), F.when(turn == "b", end.bitwiseXOR(F.lit(56))).otherwise(end)
+    a, b = seen_from(start, turn), seen_from(end, turn)
     files, ranks = b.bitwiseAND(F.lit(7)) - a.bitwiseAND(F.lit(7)), F.shiftright(b, 3) - F.shiftright(a, 3)
     far = F.greatest(F.abs(files), F.abs(ranks))
     line = (files == 0) | (ranks == 0) | (F.abs(files) == F.abs(ranks))
@@ -240,6 +245,7 @@ def _udf(kind: T.DataType, function):
 pack_fen = _udf(T.BinaryType(), lambda fen: pack(board_of(fen)))
 unpack_fen = _udf(T.StringType(), lambda b: unpack(bytes(b)).fen())
 key_of = _udf(T.BinaryType(), lambda b: position_key(bytes(b)))
+fen_of = _udf(T.StringType(), lambda fen: board_of(fen).fen())
 epd_of = _udf(T.StringType(), lambda fen: board_of(fen).epd())
 board_errors = _udf(T.ArrayType(T.StringType()), lambda b: packed_board_errors(bytes(b)))
 legal_ucis = _udf(T.ArrayType(T.StringType()), lambda fen: sorted(m.uci() for m in board_of(fen).legal_moves()))

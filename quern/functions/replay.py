@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from quern.functions.encode import board_of
 from quern.functions.rules import Board, Move
+from quern.operators import shaping
 
 MOST_FRAMES = 512
 # Level, skill, milliseconds a move, depth of the eight playing strengths.
@@ -140,8 +141,8 @@ def shorten(text: Column, limit: int) -> Column:
 
 
 def array_shards(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of array archives below ``path``: board, score, depth, policy lists without padding, or games' policy, value, ply (0 where none is stored)."""
-    names = ["board", "score", "depth", "policy_indices", "policy_scores", "policy_depth", "policy", "value", "ply"]
+    """Rows of array archives below ``path``: board, score, depth, policy lists without padding; older ones' wdl (win, draw, loss) and policy_probs in place of scores; or games' policy, value, ply (0 where none is stored)."""
+    names = ["board", "score", "depth", "policy_indices", "policy_scores", "policy_depth", "wdl", "policy_probs", "policy", "value", "ply"]
 
     def load(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -152,16 +153,28 @@ def array_shards(spark: SparkSession, path: str) -> DataFrame:
                 for name, own in (("score", "score"), ("depth", "depth"), ("policy_depth", "policy_depth"), ("policy", "policies"), ("value", "values")):
                     if own in arrays:
                         out[name] = arrays[own].tolist()
-                if "policy_indices" in arrays and "policy_scores" in arrays:
+                if "wdl" in arrays:
+                    out["wdl"] = arrays["wdl"].tolist()
+                if "policy_indices" in arrays:
                     kept = arrays["policy_indices"] >= 0
-                    for name in ("policy_indices", "policy_scores"):
-                        out[name] = [row[k].tolist() for row, k in zip(arrays[name], kept, strict=True)]
+                    for name in ("policy_indices", "policy_scores", "policy_probs"):
+                        if name in arrays:
+                            out[name] = [row[k].tolist() for row, k in zip(arrays[name], kept, strict=True)]
                 if "policies" in arrays:
                     out["ply"] = arrays["plies"].tolist() if "plies" in arrays else 0
                 yield out.where(out.notna(), None)
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npz").option("recursiveFileLookup", True).load(path).select("content")
-    return files.mapInPandas(load, "board binary, score int, depth int, policy_indices array<int>, policy_scores array<int>, policy_depth int, policy int, value double, ply int")
+    return files.mapInPandas(load, "board binary, score int, depth int, policy_indices array<int>, policy_scores array<int>, policy_depth int, wdl array<double>, policy_probs array<double>, policy int, value double, ply int")
+
+
+def raw_scores(rows: DataFrame) -> DataFrame:
+    """Rows of either layout with score and policy_scores in centipawns; the older ones' are worked out from their shares."""
+    old = F.col("wdl").isNotNull()
+    score = F.when(old, shaping.old_score(F.col("wdl")[0], F.col("wdl")[2])).otherwise(F.col("score").cast("double"))
+    found = rows.withColumn("score", score)
+    scores = F.when(old, shaping.old_policy_scores(F.col("score"), F.col("policy_indices"), F.col("policy_probs"))).otherwise(F.col("policy_scores").cast("array<double>"))
+    return found.withColumn("policy_scores", scores).drop("wdl", "policy_probs")
 
 
 def report_json(report: dict, lists_as_lengths: tuple[str, ...] = ()) -> str:

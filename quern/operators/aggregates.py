@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+
+from quern.operators import ranking, shaping
 
 #: Edges of the score histogram, Elo clip, z of the bound and its tail probability; fixed values.
 SCORE_EDGES = [-12501, -600, -200, -50, 50, 200, 600, 12501]
@@ -81,14 +80,10 @@ def match_summary(games: DataFrame, points: Column, plies: Column, group: Column
     return total.withColumns({"elo": elo_of(F.col("score")), "score_low": low, "score_high": high, "elo_low": elo_of(low), "elo_high": elo_of(high)}).drop("__weight")
 
 
-@F.pandas_udf(DoubleType())
-def _superiority(w: pd.Series, lost: pd.Series) -> pd.Series:
-    return pd.Series([0.5 * (1 + math.erf((a - b) / math.sqrt(2 * (a + b)))) if a + b else 0.5 for a, b in zip(w, lost, strict=True)], dtype="float64")
-
-
 def likelihood_of_superiority(wins: Column, losses: Column) -> Column:
     """The normal estimate that the first side is the better one; a half without decisive games."""
-    return _superiority(wins, losses)
+    games = wins + losses
+    return F.when(games == 0, 0.5).otherwise((shaping.erf((wins - losses) / F.sqrt(2.0 * F.greatest(games, F.lit(1)))) + 1) / 2)
 
 
 def phase(ply: Column) -> Column:
@@ -116,13 +111,32 @@ def mean_of_batch_means(rows: DataFrame, batch: Column, value: Column) -> DataFr
 
 
 def moving_average(values: Column, most: float = 0.999) -> Column:
-    """An exponential mean of a series whose decay warms up as (1 + t) / (10 + t)."""
-    step = F.struct(F.lit(0).alias("t"), F.lit(0.0).alias("mean"))
+    """An exponential mean of a short series whose decay warms up as (1 + t) / (10 + t)."""
+    found = folded_average(values, F.lit(0), most)
+    return found["b"]
+
+
+def folded_average(values: Column, before: Column, most: float = 0.999) -> Column:
+    """What a stretch of a series, with so many values ``before`` it, makes of a mean m: a * m + b."""
+    start = F.struct(before.cast("long").alias("t"), F.lit(1.0).alias("a"), F.lit(0.0).alias("b"))
 
     def fold(acc: Column, x: Column) -> Column:
         t = acc["t"] + 1
-        decay = F.least(F.lit(most), (1.0 + t) / (10.0 + t))
-        mean = F.when(acc["t"] == 0, x.cast("double")).otherwise(decay * acc["mean"] + (1 - decay) * x)
-        return F.struct(t.alias("t"), mean.alias("mean"))
+        decay = F.when(t == 1, 0.0).otherwise(F.least(F.lit(most), (1.0 + t) / (10.0 + t)))
+        return F.struct(t.alias("t"), (acc["a"] * decay).alias("a"), (acc["b"] * decay + (1 - decay) * x.cast("double")).alias("b"))
 
-    return F.aggregate(values, step, fold, lambda acc: acc["mean"])
+    return F.aggregate(values, start, fold)
+
+
+def moving_averages(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, name: str = "mean", most: float = 0.999) -> DataFrame:
+    """A17 for series of any length: keys and the mean after the last value.
+
+    A series lies in consecutive parts; each part is folded to a line in the mean
+    before it, and a key's lines, one for each part, are applied in turn.
+    """
+    placed = ranking.runs(rows.select(*keys, *order, value), keys, order)
+    parts = placed.groupBy(*keys, "__part").agg(F.count("*").alias("__n"), F.transform(F.array_sort(F.collect_list(F.struct(*order, value))), lambda r: r[value]).alias("__values"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    lines = parts.withColumn("__before", before).withColumn("__line", folded_average(F.col("__values"), F.col("__before"), most))
+    held = lines.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("__part", F.col("__line.a").alias("a"), F.col("__line.b").alias("b")))).alias("__lines"))
+    return held.select(*keys, F.aggregate("__lines", F.lit(0.0), lambda m, line: m * line["a"] + line["b"]).alias(name))

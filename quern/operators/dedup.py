@@ -52,3 +52,13 @@ def first_source(parts: Sequence[DataFrame], keys: Sequence[str]) -> DataFrame:
         part = part.withColumn("__order", F.lit(order))
         union = part if union is None else union.unionByName(part)
     return first_arrival(union, keys, ["__order"]).drop("__order")
+
+
+def concatenated(parts: Sequence[DataFrame]) -> DataFrame:
+    """All rows of ``parts``, repeats included, by column names, which must be the same."""
+    union = parts[0]
+    for part in parts[1:]:
+        if set(part.columns) != set(union.columns):
+            raise ValueError(f"columns differ: {sorted(set(part.columns) ^ set(union.columns))}")
+        union = union.unionByName(part)
+    return union

@@ -34,13 +34,23 @@ def longest_prefix(rows: DataFrame, steps: str, book: DataFrame, prefix: str, na
     Every prefix of the steps up to the book's longest meets the book in an
     equi-join; a row's best is kept by one aggregation.
     """
-    lengths = F.sequence(F.lit(1), F.size(steps))
+    longest = book.agg(F.max(F.size(prefix))).first()[0] or 0
+    if not longest:
+        return rows.select(id_col, F.lit(None).cast("int").alias("matched"), F.lit(None).cast("string").alias(name))
+    lengths = F.sequence(F.lit(1), F.least(F.size(steps), F.lit(longest)))
     prefixes = rows.where(F.size(steps) > 0).select(id_col, F.explode(F.transform(lengths, lambda n: F.slice(steps, 1, n))).alias("__prefix"))
     found = prefixes.join(book.select(F.col(prefix).alias("__prefix"), F.col(name)), "__prefix")
     best = found.groupBy(id_col).agg(F.max(F.struct(F.size("__prefix").alias("n"), F.col(name))).alias("__best"))
     return rows.select(id_col).join(best, id_col, "left").select(id_col, F.col("__best.n").alias("matched"), F.col(f"__best.{name}").alias(name))
 
 
+def first_steps(rows: DataFrame, key: str, order: Sequence[str], step: str, most: int, name: str = "steps") -> DataFrame:
+    """The first ``most`` steps of each key in order; ranked before they are collected, so a long history sends no more."""
+    place = F.row_number().over(Window.partitionBy(key).orderBy(*order))
+    first = rows.select(key, step, place.alias("__place")).where(F.col("__place") <= most)
+    return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("__place", step))), lambda r: r[step]).alias(name))
+
+
 def missing(left: DataFrame, right: DataFrame, on: Sequence[str]) -> DataFrame:
     """Rows of ``left`` whose key ``right`` lacks."""
     return left.join(right, list(on), "left_anti")

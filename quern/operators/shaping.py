@@ -91,6 +91,22 @@ def policy_targets(scores: Column, temperature: float = TEMPERATURE) -> Column:
     return shares_of(weight)
 
 
+def erf(x: Column, terms: int = 200) -> Column:
+    """The error function by its series of positive terms, x times the products of 2 x x / (2 k + 1); beyond 6 it is 1 in double precision."""
+    z = F.greatest(F.lit(-6.0), F.least(F.lit(6.0), x.cast("double")))
+
+    def series(z: Column) -> Column:
+        start = F.struct(z.alias("term"), z.alias("sum"))
+
+        def step(acc: Column, k: Column) -> Column:
+            term = acc["term"] * 2 * z * z / (2 * k + 1)
+            return F.struct(term.alias("term"), (acc["sum"] + term).alias("sum"))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), start, step, lambda acc: acc["sum"]) * F.exp(-z * z) * (2 / math.sqrt(math.pi))
+
+    return let(z, series)
+
+
 def value_of_bins(shares: Column) -> Column:
     """V3: the value in [-1, 1] of shares over even bins of the expected score."""
     middles = let(shares, lambda s: F.transform(s, lambda p, i: p * (i + 0.5) / F.size(s)))

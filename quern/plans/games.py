@@ -117,6 +117,19 @@ def parse_archives(page: str, base: str, pattern: str) -> list[tuple[str, int, s
     return list(found.values())
 
 
+def ratings_of(pages: DataFrame) -> DataFrame:
+    """S7 over pages (value): name, elo; within a page the last of a name wins."""
+    found = F.udf(lambda page: [{"name": n, "elo": e} for n, e in parse_ratings(page or "")], "array<struct<name:string,elo:int>>", useArrow=True)
+    return pages.select(F.explode(found("value")).alias("row")).select("row.*")
+
+
+def archives_of(pages: DataFrame, base: str, pattern: str) -> DataFrame:
+    """S8 over pages (value): name, games, url, size_mb."""
+    names_ = ("name", "games", "url", "size_mb")
+    found = F.udf(lambda page: [dict(zip(names_, r, strict=True)) for r in parse_archives(page or "", base, pattern)], "array<struct<name:string,games:int,url:string,size_mb:double>>", useArrow=True)
+    return pages.select(F.explode(found("value")).alias("row")).select("row.*")
+
+
 def ratings_frame(spark: SparkSession, rows: list[tuple[str, int]]) -> DataFrame:
     return spark.createDataFrame(rows, "name string, elo int").withColumn("key", names.fold_key("name"))
 

@@ -4,7 +4,7 @@ import math
 
 import pytest
 
-from quern.plans import registry
+from quern.plans import fixtures, registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -42,8 +42,16 @@ def test_query(spark, duck, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", list(fixtures.QUERIES))
+def test_fixture(spark, duck, name):
+    got, want = fixtures.QUERIES[name](spark, SF).toPandas(), duck.execute(fixtures.ORACLES[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got) == rows(want)
+
+
 def test_entry_points(spark):
     import __spark_entry__ as entry
 
-    assert set(registry.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
+    assert not set(registry.QUERIES) & set(fixtures.QUERIES)
+    assert set(registry.QUERIES) | set(fixtures.QUERIES) <= set(entry.queries()) and set(registry.ORACLES) <= set(entry.oracle_sql())
     assert entry.entry(spark).count() > 0
