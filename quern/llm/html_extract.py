@@ -318,45 +318,53 @@ def main_text(page: Page, classes: list[list[int]], menus: set[int]) -> str:
     return "\n\n".join(kept(False, True))
 
 
-_TOKEN = pa.schema([("host", pa.int64()), ("section", pa.int64()), ("kind", pa.int32()), ("token", pa.int64()), ("page", pa.int64()), ("n", pa.int64()), ("place", pa.int32()), ("linked", pa.int64())])
 TAG, TEXT, PATH = 0, 1, 2
+_COUNT = [("kind", pa.int32()), ("token", pa.int64()), ("n", pa.int32()), ("place", pa.int32()), ("linked", pa.int32())]
+COUNTED = "host long, section long, page long, counts array<struct<kind:int,token:long,n:int,place:int,linked:int>>"
 
 
-def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The tokens of each page, with how often and where first they occur, and its blocks' paths, with their characters and linked ones."""
+def _counts(page: Page) -> list[tuple[int, int, int, int, int]]:
+    """Each token of a page with how often and where first it occurs, and each of its blocks' paths with their characters and linked ones."""
+    texts = {b.token for b in page.blocks}
+    seen: dict[int, list[int]] = {}
+    for i, token in enumerate(page.tokens):
+        if token in seen:
+            seen[token][0] += 1
+        else:
+            seen[token] = [1, i]
+    held: dict[int, list[int]] = {}
+    for b in page.blocks:
+        sizes = held.setdefault(b.path, [0, 0])
+        sizes[0] += len(b.text)
+        sizes[1] += b.linked
+    return [(TEXT if t in texts else TAG, t, n, i, 0) for t, (n, i) in seen.items()] + [(PATH, p, n, 0, linked) for p, (n, linked) in held.items()]
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for host, section, source in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        pages, ends = [], [0]
+        for source in batch.column(2).to_pylist():
             page = read(source)
-            number = xxh64_intdigest(np.array(page.tokens, np.int64).tobytes()) - (1 << 63)
-            texts = {b.token for b in page.blocks}
-            seen: dict[int, list[int]] = {}
-            for i, token in enumerate(page.tokens):
-                if token in seen:
-                    seen[token][0] += 1
-                else:
-                    seen[token] = [1, i]
-            rows += [(host, section, TEXT if t in texts else TAG, t, number, n, i, 0) for t, (n, i) in seen.items()]
-            held: dict[int, list[int]] = {}
-            for b in page.blocks:
-                sizes = held.setdefault(b.path, [0, 0])
-                sizes[0] += len(b.text)
-                sizes[1] += b.linked
-            rows += [(host, section, PATH, p, number, n, 0, linked) for p, (n, linked) in held.items()]
-        for at in range(0, len(rows), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[at : at + 50_000], strict=True), _TOKEN, strict=True)], schema=_TOKEN)
+            pages.append(xxh64_intdigest(np.array(page.tokens, np.int64).tobytes()) - (1 << 63))
+            rows += _counts(page)
+            ends.append(len(rows))
+        flat = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows, strict=True) if rows else [[]] * len(_COUNT), _COUNT, strict=True)], names=[n for n, _ in _COUNT])
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pages, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)], names=["host", "section", "page", "counts"])
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, classes (their tokens in order), menus (paths): a row for each host or section that has any; ``pages`` has url and html."""
+    """host, classes (their tokens in order), menus (paths): a row for each host or section that has any; ``pages`` has url and html.
+
+    A page's counts travel as one row, of which a host keeps one for all copies.
+    """
     prepare(pages.sparkSession)
     host, section = places_of(F.col("url"))
     source = pages.select(host.alias("host"), section.alias("section"), F.col("html").cast("string").alias("html"))
-    found = source.mapInArrow(released(_tokens), "host long, section long, kind int, token long, page long, n long, place int, linked long")
-    found = found.groupBy("host", "section", "kind", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
+    found = source.mapInArrow(released(_counted), COUNTED)
+    found = found.groupBy("host", "page").agg(F.first("counts").alias("counts"), F.collect_set("section").alias("sections"))
     # A copy in another section is another page there, and the same page of the host.
-    found = found.withColumn("host", F.explode(F.array_distinct(F.array("host", "section"))))
-    found = found.groupBy("host", "kind", "token", "page").agg(F.max("n").alias("n"), F.min("place").alias("place"), F.max("linked").alias("linked"))
+    found = found.select(F.explode(F.array_union(F.array("host"), "sections")).alias("host"), "page", "counts").select("host", "page", F.inline("counts"))
     found = found.groupBy("host", "kind", "token").agg(
         F.sum(F.xxhash64("page", "n").cast("decimal(38,0)")).alias("vector"),
         F.count("*").alias("support"),
