@@ -34,7 +34,7 @@ from quern.llm.words import LETTERS, coded, spread
 #: Words of a window, and by how many a shard's suffixes are sorted.
 WIDTH, DEPTH = 10, 16
 #: Words of a shard and of a block of the benchmark, and pairs of a test and a training suffix looked at together.
-SHARD_WORDS, BLOCK_WORDS, PAIRS = 1 << 20, 1 << 20, 1 << 20
+SHARD_WORDS, BLOCK_WORDS, PAIRS = 1 << 18, 1 << 20, 1 << 20
 FOUND = "n_words long, n_hit long, items array<string>, matches array<struct<item:string,doc_start:int,item_start:int,length:int>>, hits array<int>"
 _MATCH = pa.struct([("item", pa.string()), ("doc_start", pa.int32()), ("item_start", pa.int32()), ("length", pa.int32())])
 _ROW = pa.schema([("id", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("items", pa.list_(pa.string())), ("matches", pa.list_(_MATCH)), ("hits", pa.list_(pa.int32()))])
