@@ -52,7 +52,7 @@ def released(run):
     return whole
 
 
-def larger(batches: Iterator, size: int = 12 << 20) -> Iterator:
+def larger(batches: Iterator, size: int = 8 << 20) -> Iterator:
     """Arrow batches joined to ones of about ``size`` bytes."""
     import pyarrow as pa
 
@@ -68,6 +68,16 @@ def larger(batches: Iterator, size: int = 12 << 20) -> Iterator:
         yield held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def rest(spark: SparkSession) -> None:
+    """Let executors collect their garbage and shrink their heaps, so that what one stage let them grow to isn't carried through the next.
+
+    A task for each core calls the collector; where explicit calls are disabled
+    nothing happens.
+    """
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.expr("java_method('java.lang.System', 'gc')")).write.format("noop").mode("overwrite").save()
+
+
 def work_dir(spark: SparkSession, name: str) -> str:
     """A new folder in the one that driver and executors share.
 

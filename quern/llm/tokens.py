@@ -36,9 +36,9 @@ _ODD = re.compile(r" (?:\s|\Z)")
 #: Letters (the same in every version of Unicode, composed, and of one letter in lower case) with marks behind them, no apostrophe.
 _PLAIN = re.compile("([A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01ef\u01f1-\u024f]+)([!-&(-/:-@\\[-`{-~]+)?")
 #: Bytes of remembered words and their ids, and what an entry takes besides its word and ids.
-MEMORY, ENTRY = 64 << 20, 190
+MEMORY, ENTRY = 48 << 20, 190
 #: Longer words are encoded anew each time; characters of texts that are cut together.
-LONGEST_KEPT, GROUP = 48, 12 << 20
+LONGEST_KEPT, GROUP = 48, 8 << 20
 #: Words whose ids are gathered together.
 STEP = 1 << 18
 #: Marks behind words that are remembered.
