@@ -10,7 +10,7 @@ pages are menus. Elements that HTML itself sets apart (navigation, asides, forms
 footers, scripts and the like) or that are hidden go as well. Where a page has an
 ``article`` or ``main`` element, the text is what these hold.
 
-Names that a page's author gave count last: a class or role that says in full
+Names that a page's author gave count last: a class, role or id that says in full
 that a container is an advert, comments, sharing links and so on sets it apart.
 Names never decide about headings, paragraphs, list items or cells, nor does a
 name that only contains such a word. Headings, items and cells of an article stay
