@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from quern.functions import encode, replay, search, targets, text
 from quern.functions.records import EvalConfig, judged
-from quern.functions.rules import START, Board, Move
-from quern.operators import aggregates, dedup, lookup, ranking, shaping, split
+from quern.functions.rules import START, Board
+from quern.operators import aggregates, lookup, ranking, shaping, split
 from quern.operators.stage import shared_folder
 from quern.plans import evals, games
 from quern.sources import games as source
