@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from quern.llm import chains, near_vectors, simhash
+from quern.llm import chains, common, near_vectors, simhash
 from quern.llm.common import components
 
 WORDS = [f"w{i}" for i in range(3000)]
@@ -77,6 +77,19 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+def test_components_of_chains_take_few_rounds(spark, monkeypatch):
+    """Rounds, and what the driver holds of them, don't follow the length of a chain whose nodes lie at random."""
+    written, write = [], common.cut
+    monkeypatch.setattr(common, "cut", lambda df, name: written.append(name) or write(df, name))
+    monkeypatch.setattr(common, "LAST", 20, raising=False)
+    rng = random.Random(9)
+    nodes = [rng.getrandbits(63) - (1 << 62) for _ in range(3000)]
+    edges = [*zip(nodes, nodes[1:], strict=False), *((nodes[0] + 1, nodes[0] + 2 + i) for i in range(200))]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "src long, dst long")).collect()}
+    assert got == closure({n for e in edges for n in e}, edges)
+    assert len(written) < 80
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(3)
     base = rng.standard_normal((150, 16))
